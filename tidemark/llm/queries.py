@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near
+from tidemark.llm import near, pieces
 from tidemark.sources.tables import table
 
 
@@ -22,5 +22,20 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(_services(spark, sf_dir), "id", "block", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "rag_document").select("id", "text").where(F.length("text") > pieces.LIMIT)
+    out = pieces.split(long, "id", "text", with_text=False)
+    return out.groupBy(F.col("key").alias("id")).agg(F.max("core_end").alias("n_chars"), F.max("forced").alias("forced"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last delivery of every document."""
+    docs = table(spark, sf_dir, "rag_document").select("row_id", "id", "text", "ingested_at")
+    return pieces.split(pieces.latest(docs, "id", ["ingested_at", "row_id"]), "id", "text")
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p3_found": p3_found, "p3_groups": p3_groups}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near, pieces
+from tidemark.llm import leaks, lookalike, near, pieces
 from tidemark.sources.tables import table
 
 
@@ -34,8 +34,31 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split(pieces.latest(docs, "id", ["ingested_at", "row_id"]), "id", "text")
 
 
-QUERIES = {
-    "p4_found": p4_found,
-    "p4_pieces": p4_pieces,
-    "p3_found": p3_found, "p3_groups": p3_groups}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item")
+    return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words to remove from every leaking document."""
+    return leaks.removal_spans(_leaks(spark, sf_dir), "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.equal_looking(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text."""
+    docs = lookalike.consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
+
+
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_spans, p9_found, p9_forms]
+QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, lookalike, near, pieces
+from tidemark.llm import leaks, lookalike, near, pieces, vectors
 from tidemark.sources.tables import table
 
 
@@ -34,6 +34,20 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split(pieces.latest(docs, "id", ["ingested_at", "row_id"]), "id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "qpoint").select("id", "vector")
+    near5 = vectors.neighbours(points, "id", "vector", 5, min_score=0.9)
+    return near5.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every hundredth point (by the hash of its id), against all points."""
+    points = table(spark, sf_dir, "qpoint").select("id", "vector")
+    asked = points.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
+    out = vectors.neighbours(points, "id", "vector", 5, queries=asked)
+    return out.withColumn("score", F.round("score", 4))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item")
     return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
@@ -59,6 +73,6 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_spans, p9_found, p9_forms]
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p7_found, p7_spans, p9_found, p9_forms]
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, lookalike, near, pieces, vectors
+from tidemark.llm import leaks, lookalike, mixing, near, pieces, varied, vectors
+from tidemark.session import written
 from tidemark.sources.tables import table
 
+#: The domain of every source, the upper level of the mixing tree.
+DOMAINS = {
+    "wiki": "reference", "runbook": "reference", "changelog": "reference", "postmortem": "review", "slo_review": "review",
+    "ticket": "work", "handover": "work", "oncall_diary": "work", "chat_export": "talk", "alert_note": "signal",
+    "log_excerpt": "signal", "vendor_notice": "outside", "partner_feed": "outside",
+}
+
 
 def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "rag_document").select("id", near.block_of(F.col("service")).alias("block"), "text")
@@ -48,6 +56,11 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 4))
 
 
+def p6_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, requests = table(spark, sf_dir, "hit"), table(spark, sf_dir, "ask_request").select("request_id", "take")
+    return varied.select(hits, requests)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item")
     return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
@@ -62,6 +75,35 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.removal_spans(_leaks(spark, sf_dir), "doc_id")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and source is not null and text is not null")
+    return written(mixing.token_counts(docs.select("doc_id", "source", F.lower("lang").alias("lang"), "text"), "text"), "sized")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, _ = mixing.plan(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"), DOMAINS)
+    return spark.createDataFrame([(t["mix_id"], t["source"]) for t in told if t["short"]], "mix_id int, source string")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mix with their repeats."""
+    sized = _sized(spark, sf_dir)
+    return mixing.choose(sized, mixing.plan(sized, table(spark, sf_dir, "mix_target"), DOMAINS)[1], "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares wanted and reached."""
+    sized = _sized(spark, sf_dir)
+    told, parts = mixing.plan(sized, table(spark, sf_dir, "mix_target"), DOMAINS)
+    got = mixing.choose(sized, parts, "doc_id").groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"))
+    schema = "mix_id int, source string, target_share double, planned double, short boolean"
+    rows = spark.createDataFrame([(t["mix_id"], t["source"], t["target_share"], t["planned"], t["short"]) for t in told], schema)
+    out = rows.join(got, ["mix_id", "source"], "left").na.fill(0, ["tokens", "repeats"])
+    whole = out.groupBy("mix_id").agg(F.sum("tokens").alias("whole"))
+    share = F.when(F.col("whole") > 0, F.round(F.col("tokens") / F.col("whole"), 6)).otherwise(0.0)
+    return out.join(whole, "mix_id").select("mix_id", "source", "target_share", share.alias("actual_share"), "tokens", "repeats", "short")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lookalike.equal_looking(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -73,6 +115,6 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p7_found, p7_spans, p9_found, p9_forms]
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_shares, p9_found, p9_forms]
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}

@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 # A Latin letter and the letters of other alphabets with its shape.
 TWINS = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ",
@@ -90,6 +92,28 @@ _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 #: Words joined by these are one lattice, where changing the script costs less.
 _COMPOUND = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ]|[-_./:@](?=[^\W\d_]))*")
 _LINKS = set("-_./:@")
+
+
+def _special() -> re.Pattern:
+    """Matches every character that may change a text or prove a script; a text without
+    any is its own form."""
+    codes = {c for _, lo, hi in _SCRIPTS for c in range(lo, hi + 1)} | _NORMAL.keys() | _SHAPE.keys()
+    for code in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= code <= 0xDFFF and not 0xAC00 <= code <= 0xD7A3:
+            ch = chr(code)
+            if unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch) or any(ord(x) in _SHAPE for x in unicodedata.normalize("NFD", ch)):
+                codes.add(code)
+    ranges, ordered = [], sorted(codes)
+    for code in ordered:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    # Conjoining jamo compose without being combining characters.
+    return re.compile("[ᄀ-ᇿ" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+
+_SPECIAL = _special()
 _SWITCH, _SWITCH_AT_LINK = 1000.0, 12.0
 #: Lower-case letters whose capital has a twin: what a comparison without case must join.
 _CASELESS = {ord(t.lower()): latin.lower() for latin, twins in TWINS.items() for t in twins if ord(t.lower()) not in _SHAPE}
@@ -104,7 +128,7 @@ def shape(text: str) -> str:
 
 def caseless(text: str) -> str:
     """A key that is equal for texts that look alike without regard to case."""
-    if text.isascii():
+    if text.isascii() or not _SPECIAL.search(text):
         return text.lower()
     return unicodedata.normalize("NFC", shape(text).lower().translate(_CASELESS))
 
@@ -118,7 +142,7 @@ class Forms:
         self.limit = limit
 
     def __call__(self, text: str | None) -> str | None:
-        if text is None or text.isascii():
+        if text is None or text.isascii() or not _SPECIAL.search(text):
             return text
         drawn = shape(text)
         proven = tuple(name for name, pattern in _PROOF.items() if pattern.search(drawn))
@@ -173,39 +197,54 @@ class Forms:
         return self.model.get((script, a, b), -12.0)
 
 
+#: The letters counted, the start of a word first; numbers and scripts by code point.
+_LETTERS = ["^", *(chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x250), *range(0x370, 0x590)) if chr(c).isalpha() and chr(c).lower() == chr(c))]
+_NUMBER = np.zeros(0x10000, np.int64)
+_NUMBER[[ord(c) for c in _LETTERS[1:]]] = np.arange(1, len(_LETTERS))
+_SCRIPT = np.zeros(0x10000, np.int64)
+_SCRIPT[[ord(c) for c in _LETTERS[1:]]] = [1 + ["latin", "cyrillic", "greek", "armenian"].index(script_of(c)) for c in _LETTERS[1:]]
+
+
+def _count_bigrams(text: str, total: np.ndarray) -> None:
+    """Add the bigrams of all words of one script to ``total``."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where(code < 0x10000, code, 0)
+    number, script = _NUMBER[code], _SCRIPT[code]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (number > 0).view(np.int8), [0]])))
+    if not len(edge):
+        return
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    # The text behind a word is no letter, so its script (0) must not count as the least.
+    low = np.minimum.reduceat(np.where(number > 0, script, 99), start)
+    pure = low == np.maximum.reduceat(script, start)
+    inside = np.zeros(len(code), bool)
+    inside[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(pure, size)
+    before = np.concatenate([[0], number[:-1]])
+    total += np.bincount(before[inside] * len(_LETTERS) + number[inside], minlength=len(total))
+
+
 def bigrams(df: DataFrame, text: str, most: int = 50_000) -> dict[tuple[str, str, str], float]:
     """Log probabilities of letter bigrams per script, counted over all texts in tokens
     of one script. The result is bounded by the alphabets; rarer bigrams than the
     ``most`` frequent are left to the default."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(_LETTERS) ** 2, np.int64)
         for batch in batches:
-            counts: Counter = Counter()
-            ascii_pairs = np.zeros(1 << 16, np.int64)
-            for body in batch.column(0).to_pylist():
-                if body.isascii():
-                    raw = np.frombuffer(body.lower().encode(), np.uint8).astype(np.int64)
-                    if len(raw):
-                        letter = (raw >= 97) & (raw <= 122)
-                        now = np.where(letter, raw, 94)
-                        ascii_pairs += np.bincount(np.concatenate(([94 << 8], now[:-1] << 8)) + now, minlength=1 << 16)
-                    continue
-                words = Counter(_TOKEN.findall(unicodedata.normalize("NFC", body.translate(_NORMAL)).lower()))
-                for word, n in words.items():
-                    scripts = {script_of(c) for c in word} - {""}
-                    if len(scripts) == 1:
-                        script = scripts.pop()
-                        for a, b in zip("^" + word, word, strict=False):
-                            counts[script, a, b] += n
-            for code in np.flatnonzero(ascii_pairs):
-                a, b = chr(code >> 8), chr(code & 255)
-                if b != "^":
-                    counts["latin", a, b] += int(ascii_pairs[code])
-            rows = [(s, a, b, n) for (s, a, b), n in counts.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()], strict=True)], names=["script", "a", "b", "n"]
-            )
+            held: list[str] = []
+            size = 0
+            for body in [*batch.column(0).to_pylist(), None]:
+                if body is None or size > 2_000_000:
+                    if held:
+                        _count_bigrams("\n".join(held), total)
+                    held, size = [], 0
+                if body is not None:
+                    held.append(body)
+                    size += len(body)
+        there = np.flatnonzero(total)
+        first, second = there // len(_LETTERS), there % len(_LETTERS)
+        columns = [[script_of(_LETTERS[i]) for i in second], [_LETTERS[i] for i in first], [_LETTERS[i] for i in second]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.string()) for c in columns), pa.array(total[there])], names=["script", "a", "b", "n"])
 
     counted = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, "script string, a string, b string, n bigint")
     rows = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "script", "a", "b").limit(most).collect()
@@ -254,7 +293,7 @@ def equal_looking(df: DataFrame, key: str, text: str, model: dict | None = None)
     characters differ. Pairs are made between classes of equal stored texts and then
     expanded, so pure copies cost nothing."""
     model = bigrams(df, text) if model is None else model
-    rows = _keys(df, key, text, model)
+    rows = written(_keys(df, key, text, model), "forms")
     kinds = rows.groupBy("hi", "lo", "stored").agg(F.count("*").alias("n"))
     a = kinds.select("hi", "lo", F.col("stored").alias("sa"))
     b = kinds.select("hi", "lo", F.col("stored").alias("sb"))

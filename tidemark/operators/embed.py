@@ -17,14 +17,18 @@ DIM = 64
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
     """Signed word counts by the MD5 of each distinct word, scaled to length 1; null and
     wordless texts give zeros."""
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` over a value that is computed once, not wherever it is used."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     words = token_set(F.coalesce(text, F.lit("")))
-    cells = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
-    count = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(cells, F.lit(0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.floor(h / dim), F.lit(2)) == 0, 1).otherwise(-1)).otherwise(0)),
-    )
-    norm = F.aggregate(count, F.lit(0.0), lambda s, x: s + x * x)
-    return F.transform(count, lambda x: F.when(norm > 0, x / F.sqrt(norm)).otherwise(0.0).cast("float"))
+    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+    sign = lambda h: F.when(F.pmod(F.shiftright(h, 16), F.lit(2)) == 0, 1).otherwise(-1)
+    cell = lambda hs, i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(dim)) == i), F.lit(0), lambda s, h: s + sign(h))
+    counts = bound(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: cell(hs, i)))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda c: bound(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+    return bound(counts, scaled)
 
 
 def with_provider(df: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], out: str = "vector", batch: int = 64) -> DataFrame:

@@ -18,7 +18,7 @@ def block(place: Column, score: Column, most: int = 1500) -> Column:
         line("Time: ", F.col("timestamp")),
         F.coalesce(F.concat(F.lit("Service: "), service, F.lit(" | Env: "), F.coalesce("environment", F.lit("")), F.lit("\n")), F.lit("")),
         F.lit("Source: "), F.coalesce("source_uri", F.lit("")), F.lit("\n"),
-        F.coalesce(F.concat(F.lit("Score: "), F.format_string("%.3f", score), F.lit("\n")), F.lit("")),
+        F.when(score.isNotNull(), F.concat(F.lit("Score: "), F.format_string("%.3f", score), F.lit("\n"))).otherwise(""),
         F.coalesce(meta, F.lit("")), F.lit("Excerpt:\n"), excerpt(F.coalesce("text", F.lit("")), most), F.lit("\n\n"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import queries as _queries
+from tidemark.llm import sql as _sql
 
 QUERIES = _queries.QUERIES
-ORACLES = _queries.ORACLES
+ORACLES = _sql.ORACLES

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-GROUPS, GROUP_BYTES = 32, 6
+GROUPS, GROUP_BYTES = 64, 6
 #: Postings per reduce task.
 TASK_POSTINGS = 500_000
 _RNG = np.random.default_rng(20240601)

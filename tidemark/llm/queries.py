@@ -117,4 +117,4 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_shares, p9_found, p9_forms]
 QUERIES = {query.__name__: query for query in _ALL}
-ORACLES: dict[str, str] = {}
+

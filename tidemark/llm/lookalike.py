@@ -45,6 +45,8 @@ TWINS = {
     "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
 }
 HYPHENS = "‐‑‒﹣－⁃"
+# Letters whose compatibility form has another shape.
+OWN_LOOK = "ſϐϑϒϓϔϕϖϰϱϲϴϵϹẛ"
 #: Kinds of compatibility forms that look like the ordinary character.
 _SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 
@@ -58,7 +60,7 @@ def _normal_table() -> dict[int, str]:
             table[code] = " "
         elif category == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0):
             table[code] = ""
-        elif unicodedata.decomposition(ch).partition(" ")[0] in _SAME_LOOK:
+        elif ch not in OWN_LOOK and unicodedata.decomposition(ch).partition(" ")[0] in _SAME_LOOK:
             plain = unicodedata.normalize("NFKC", ch)
             if not plain.startswith(" "):
                 table[code] = plain

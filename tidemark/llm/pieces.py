@@ -66,7 +66,7 @@ def atoms(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             return
         step = max(1, limit - overlap)
         at = start
-        while end - at > limit:
+        while end - at > step:
             at = _cut(text, at, at + step)
             out.append((at, _FORCED))
         out.append((end, strength))

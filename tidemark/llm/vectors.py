@@ -152,6 +152,8 @@ def nearest_classes(points: DataFrame, queries: DataFrame | None, k: int, min_sc
             lists = index.value
             for batch in batches:
                 _, x = usable(batch.column(0), dim)
+                if not len(x):
+                    continue
                 q = quantised(x)
                 cls = class_of(q)
                 cls, once = np.unique(cls, return_index=True)

@@ -120,7 +120,7 @@ def fit(sample: np.ndarray, rows: int, links: int = 12, seed: int = 7) -> Lists:
     order = np.argsort(-(pivots @ pivots.T), axis=1, kind="stable")
     index = Lists(pivots, order[:, : links + 1], np.concatenate(parts), np.array(bounds), np.ones(bounds[-1], np.int64))
     load = np.bincount(np.concatenate(index.nearest(x, 1, 1.0)), minlength=bounds[-1]) * (rows / len(x))
-    index.parts = np.maximum(1, np.ceil(load / MAX_LIST)).astype(np.int64)
+    index.parts = np.clip(np.ceil(load / MAX_LIST), 1, 4095).astype(np.int64)
     return index
 
 

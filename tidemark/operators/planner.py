@@ -14,8 +14,8 @@ PLAN_SCHEMA = (
     "window struct<fromUtc:string,toUtc:string>, filters array<string>, missingFields array<string>, "
     "clarifyingQuestions array<string>, rewrittenQuery string"
 )
-_SERVICE = r"\b([a-z][a-z0-9]*-(?:api|svc|service|store|sync|worker|gateway|relay|cron))\b"
-_ENVIRONMENT = r"(?:\benv:|\b)(prod|staging|dev)(?:uction|elopment)?\b"
+SERVICE = r"\b([a-z][a-z0-9]*-(?:api|svc|service|store|sync|worker|gateway|relay|cron))\b"
+ENVIRONMENT = r"(?:\benv:|\b)(prod|staging|dev)(?:uction|elopment)?\b"
 _ID = r"\b{0}[ _#:-]*([0-9][0-9a-z-]*)\b"
 
 
@@ -27,8 +27,8 @@ def plan(df: DataFrame, question: str = "question", known_env: str | None = None
     """Add ``plan``. Columns named in ``known_*`` beat what the text says. What is missing
     is listed with a question to ask; a null question gives an unknown plan."""
     q = F.coalesce(F.col(question), F.lit(""))
-    service = F.coalesce(*([F.nullif(F.col(known_service), F.lit(""))] if known_service else []), _first(q, _SERVICE))
-    env = F.coalesce(*([F.nullif(F.col(known_env), F.lit(""))] if known_env else []), _first(q, _ENVIRONMENT))
+    service = F.coalesce(*([F.nullif(F.col(known_service), F.lit(""))] if known_service else []), _first(q, SERVICE))
+    env = F.coalesce(*([F.nullif(F.col(known_env), F.lit(""))] if known_env else []), _first(q, ENVIRONMENT))
     intent = (
         F.when(mentions(q, CAUSE_WORDS), "rootCause").when(mentions(q, INCIDENT_WORDS), "incident").when(mentions(q, ["slo", "budget"]), "slo")
         .when(mentions(q, ["monitor", "alert"]), "monitor").when(mentions(q, ["metric", "latency", "cpu", "memory"]), "metric")

@@ -14,7 +14,7 @@ from tidemark.functions.instants import with_utc_micros
 from tidemark.operators import context, rerank, search, store
 from tidemark.operators.chunking import chunk
 from tidemark.operators.embed import hash_embedding
-from tidemark.operators.planner import plan
+from tidemark.operators.planner import ENVIRONMENT, SERVICE, plan
 from tidemark.session import shared_dir
 from tidemark.sources import observability as obs
 from tidemark.sources.tables import table
@@ -349,12 +349,12 @@ def request_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = with_utc_micros(asked, "to_utc", "client_zone", "b").select("request_id", F.col("service").alias("s"), F.col("env").alias("e"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     asked = asked.where("s is not null and s <> '' and a is not null and b is not null")
     docs = with_utc_micros(table(spark, sf_dir, "rag_document"), "timestamp", "source_zone", "t").select("id", "service", "environment", "t").where("t is not null")
-    # Days bound the range join: an equality on service and day, then the exact range.
-    day = 86_400_000_000
-    days = F.sequence(F.floor(F.col("a") / day), F.floor(F.col("b") / day))
-    asked = asked.where(F.col("b") - F.col("a") <= 400 * day).withColumn("day", F.explode(days))
-    docs = docs.withColumn("day", F.floor(F.col("t") / day))
-    hits = asked.join(docs, (asked["s"] == docs["service"]) & (asked["day"] == docs["day"])).where("t >= a and t < b and (e is null or e = environment)")
+    # Stretches of 30 days bound the range join: an equality on service and stretch, then
+    # the exact range.
+    width = 30 * 86_400_000_000
+    asked = asked.withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
+    docs = docs.withColumn("part", F.floor(F.col("t") / width))
+    hits = asked.join(docs, (asked["s"] == docs["service"]) & (asked["part"] == docs["part"])).where("t >= a and t < b and (e is null or e = environment)")
     return hits.groupBy("request_id").agg(F.countDistinct("id").alias("n_documents"))
 
 
@@ -391,18 +391,39 @@ def request_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "question", "env", "service", n.alias("n_filters"), F.coalesce("rewritten_query", "question").alias("search_text"))
 
 
-@query()
+_FIRST_SQL = "nullif(regexp_extract(lower(coalesce(question, '')), '{0}', 1), '')"
+_INTENT_SQL = "case " + " ".join(
+    f"when {_HAS(w)} then '{n}'" for n, w in (("rootCause", E.CAUSE_WORDS), ("incident", E.INCIDENT_WORDS), ("slo", ["slo", "budget"]), ("monitor", ["monitor", "alert"]), ("metric", ["metric", "latency", "cpu", "memory"]), ("logs", ["log", "error"]))
+) + " else 'unknown' end"
+
+
+@query(
+    f"select request_id, {_INTENT_SQL} intent, coalesce(nullif(service, ''), {_FIRST_SQL.format(SERVICE)}) service, coalesce(nullif(env, ''), {_FIRST_SQL.format(ENVIRONMENT)}) environment, "
+    f"array_to_string(list_filter([case when coalesce(nullif(service, ''), {_FIRST_SQL.format(SERVICE)}) is null then 'service' end, case when coalesce(nullif(env, ''), {_FIRST_SQL.format(ENVIRONMENT)}) is null then 'environment' end], lambda x: x is not null), ',') missing, "
+    r"trim(regexp_replace(regexp_replace(lower(coalesce(question, '')), '\b(please|again|asap|the|a|an)\b|[()?!]', ' ', 'g'), '\s+', ' ', 'g')) rewritten from ask_request"
+)
 def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of every question by rules."""
     asked = table(spark, sf_dir, "ask_request").select("request_id", "question", "env", "service")
-    return plan(asked, "question", "env", "service").select("request_id", "plan.*")
+    p = plan(asked, "question", "env", "service")
+    return p.select("request_id", "plan.intent", "plan.service", "plan.environment", F.array_join("plan.missingFields", ",").alias("missing"), F.col("plan.rewrittenQuery").alias("rewritten"))
 
 
 # ---------------------------------------------------------------- search and ranking
 
+_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TOKENS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '" + _SPACE.replace("{", "{{").replace("}", "}}") + "'), lambda w: w <> ''))"
 
-@query()
+
+@query(
+    f"with t as (select request_id, list_transform({_TOKENS_SQL.format("coalesce(question, '')")}, lambda w: ('0x' || substr(md5(w), 1, 8))::bigint) h from ask_request), "
+    "c as (select request_id, unnest(range(0, 64)) cell, h from t), n as (select request_id, cell::int cell, coalesce(list_sum(list_transform(list_filter(h, lambda x: x % 64 = cell), lambda x: case when (x >> 16) % 2 = 0 then 1 else -1 end)), 0)::double v from c) "
+    "select request_id, cell, round(v / sqrt(sum(v * v) over (partition by request_id)), 5) amount from n qualify v <> 0"
+)
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "ask_request").select("request_id", hash_embedding(F.col("question")).alias("vector"))
+    """The cells of every question's embedding that aren't zero."""
+    v = table(spark, sf_dir, "ask_request").select("request_id", F.posexplode(hash_embedding(F.col("question"))).alias("cell", "x"))
+    return v.where("x <> 0").select("request_id", "cell", F.round(F.col("x").cast("double"), 5).alias("amount"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,8 +500,6 @@ def parent_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.best_per_parent(_hits(spark, sf_dir)).select("request_id", "id", "score")
 
 
-_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_TOKENS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '" + _SPACE.replace("{", "{{").replace("}", "}}") + "'), lambda w: w <> ''))"
 _SIM_SQL = "len(list_intersect({0}, {1})) / greatest(1.0::double, sqrt(len({0})::double * len({1})))"
 
 

@@ -258,7 +258,7 @@ def similar_pairs(df: DataFrame, key: str, block: str, text: str, threshold: flo
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def groups(df: DataFrame, key: str, block: str, text: str, threshold: float = 0.8, rounds: int = 30) -> DataFrame:
+def groups(df: DataFrame, key: str, block: str, text: str, threshold: float = 0.8, rounds: int = 500) -> DataFrame:
     """One row per document: ``id``, ``group_id`` (the smallest id of its connected
     component) and ``n_links`` (similar classes other than its own plus its copies)."""
     pairs, members = similar_classes(df, key, block, text, threshold)
@@ -281,6 +281,8 @@ def groups(df: DataFrame, key: str, block: str, text: str, threshold: float = 0.
         labels = after.select("u", "label")
         if after.where("label <> was").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     degree = pairs.select(F.col("full_a").alias("full")).unionAll(pairs.select("full_b")).groupBy("full").agg(F.count("*").alias("n"))
     sizes = members.groupBy("full").agg(F.count("*").alias("copies"))
     told = (

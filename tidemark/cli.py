@@ -1,4 +1,4 @@
-"""Command line: ``ask``, ``plan`` and ``index``."""
+"""Command line: ``ask`` and ``plan`` (at the service, or ``ask`` over a local store), ``index``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,34 @@ import argparse
 import json
 import sys
 import time
+import urllib.request
+
+
+def _post(route: str, body: dict) -> dict:
+    from tidemark.config import Settings
+
+    settings = Settings.from_env()
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {settings.api_token}"} if settings.api_token else {})
+    request = urllib.request.Request(settings.api_url.rstrip("/") + route, json.dumps(body).encode(), headers)
+    with urllib.request.urlopen(request, timeout=300) as response:
+        return json.loads(response.read())
+
+
+def _remote(args: argparse.Namespace) -> int:
+    """Plan, and for ``ask`` then ask, at the service; flags beat what the plan infers."""
+    told = _post("/ask/plan", {"question": args.question})["plan"]
+    if args.verb == "plan":
+        print(json.dumps(told, ensure_ascii=False, indent=1))
+        return 0
+    for line in (told.get("clarifyingQuestions") or []) if told.get("missingFields") else []:
+        print(line, file=sys.stderr)
+    span = told.get("window") or {}
+    body = {
+        "question": args.question, "env": args.env or told.get("environment"), "service": args.service or told.get("service"), "from_utc": span.get("fromUtc"),
+        "to_utc": span.get("toUtc"), "filters": told.get("filters"), "rewritten_query": told.get("rewrittenQuery"),
+    }
+    print(_post("/ask", body)["answer"])
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -17,13 +45,15 @@ def main(argv: list[str] | None = None) -> int:
         verb.add_argument("--env")
         verb.add_argument("--service")
         if name == "ask":
-            verb.add_argument("--store", required=True, help="folder of the chunk store (parquet)")
+            verb.add_argument("--store", help="folder of the chunk store (parquet); without it the service is asked")
             verb.add_argument("--model-url")
     verb = verbs.add_parser("index")
     verb.add_argument("source")
     verb.add_argument("root")
     args = parser.parse_args(argv)
 
+    if args.verb != "index" and not getattr(args, "store", None):
+        return _remote(args)
     from tidemark.operators.planner import plan
     from tidemark.session import get_session
 
@@ -35,9 +65,6 @@ def main(argv: list[str] | None = None) -> int:
         print(store.read().count() if store.versions() else 0)
         return 0
     row = plan(spark.createDataFrame([(args.question,)], "question string")).first()["plan"]
-    if args.verb == "plan":
-        print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=1))
-        return 0
     for line in row["clarifyingQuestions"]:
         print(line, file=sys.stderr)
     from tidemark.operators.answer import ask

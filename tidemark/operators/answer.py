@@ -25,14 +25,15 @@ def filtered(store: DataFrame, environment: str | None = None, service: str | No
     return store if to_s is None else store.where(F.col("seconds") < to_s)
 
 
-def ask(store: DataFrame, question: str, now: int, model, settings: Settings | None = None, environment: str | None = None, service: str | None = None) -> str:
-    """The answer to one question over a store of chunks with vectors. Failures become the
+def ask(store: DataFrame, question: str, now: int, model, settings: Settings | None = None, environment: str | None = None, service: str | None = None, rewritten: str | None = None) -> str:
+    """The answer to one question over a store of chunks with vectors. The search uses the
+    rewritten question if there is one. Failures become the
     text of the answer, as a service would return them."""
     settings = settings or Settings()
     spark = store.sparkSession
     try:
-        asked = spark.createDataFrame([(1, question)], "request_id bigint, question string")
-        asked = asked.select("request_id", "question", hash_embedding(F.col("question")).alias("v"), dynamic_topk(F.col("question"), settings.topk).alias("take"))
+        asked = spark.createDataFrame([(1, question, rewritten or question)], "request_id bigint, question string, searched string")
+        asked = asked.select("request_id", "question", hash_embedding(F.col("searched")).alias("v"), dynamic_topk(F.col("question"), settings.topk).alias("take"))
         row = asked.first()
         found = top_for_vector(filtered(store, environment, service), "id", "vector", list(row["v"]), settings.candidates).withColumn("request_id", F.lit(1).cast("bigint"))
         chosen = rerank(top_candidates(found, settings.candidates), asked.select("request_id", "take"), now)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import allowed_metadata, excerpt, kind_name
 
+# The labels of a block.
+HEAD, TIME, SERVICE, ENV, SOURCE, SCORE, EXCERPT = "[DOC #", "Time: ", "Service: ", " | Env: ", "Source: ", "Score: ", "Excerpt:\n"
+
 
 def block(place: Column, score: Column, most: int = 1500) -> Column:
     """One passage; null times, empty services and other metadata leave no line."""
@@ -14,12 +17,12 @@ def block(place: Column, score: Column, most: int = 1500) -> Column:
     service = F.nullif(F.col("service"), F.lit(""))
     meta = F.array_join(F.transform(allowed_metadata(F.col("metadata")), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n"))), "")
     return F.concat(
-        F.lit("[DOC #"), place.cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" ("), F.coalesce(kind_name(F.col("kind")), F.lit("Unknown")), F.lit(")\n"),
-        line("Time: ", F.col("timestamp")),
-        F.coalesce(F.concat(F.lit("Service: "), service, F.lit(" | Env: "), F.coalesce("environment", F.lit("")), F.lit("\n")), F.lit("")),
-        F.lit("Source: "), F.coalesce("source_uri", F.lit("")), F.lit("\n"),
-        F.when(score.isNotNull(), F.concat(F.lit("Score: "), F.format_string("%.3f", score), F.lit("\n"))).otherwise(""),
-        F.coalesce(meta, F.lit("")), F.lit("Excerpt:\n"), excerpt(F.coalesce("text", F.lit("")), most), F.lit("\n\n"),
+        F.lit(HEAD), place.cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" ("), F.coalesce(kind_name(F.col("kind")), F.lit("Unknown")), F.lit(")\n"),
+        line(TIME, F.col("timestamp")),
+        F.coalesce(F.concat(F.lit(SERVICE), service, F.lit(ENV), F.coalesce("environment", F.lit("")), F.lit("\n")), F.lit("")),
+        F.lit(SOURCE), F.coalesce("source_uri", F.lit("")), F.lit("\n"),
+        F.when(score.isNotNull(), F.concat(F.lit(SCORE), F.format_string("%.3f", score), F.lit("\n"))).otherwise(""),
+        F.coalesce(meta, F.lit("")), F.lit(EXCERPT), excerpt(F.coalesce("text", F.lit("")), most), F.lit("\n\n"),
     )
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import percent_encoded, shortest_number, tag_value
 
 DOCUMENT = ["id", "title", "text", "source_uri", "kind", "timestamp", "service", "environment", "metadata"]
+# The labels in titles and texts.
+QUERY, MESSAGE, SEVERITY, IMPACT, TYPE, TARGET = "\n\nQuery: ", "\n\nMessage: ", "\n\nSeverity: ", "\n\nCustomer Impact: ", "\n\nType: ", "\nTarget: "
+LOG_TITLE, METRIC_TITLE, METRIC_TEXT, NO_SEVERITY = "Log: ", "Metric: ", "Active metric: ", "UNKNOWN"
 BASE_URL = "https://observe.example.invalid"
 
 
@@ -56,7 +59,7 @@ def monitors(raw: DataFrame, column: str = "payload", base_url: str = BASE_URL)
     )
     return df.select(
         F.concat(F.lit("monitor_"), "n").alias("id"), "title",
-        F.concat("title", F.lit("\n\nQuery: "), "query", F.lit("\n\nMessage: "), "message").alias("text"),
+        F.concat("title", F.lit(QUERY), "query", F.lit(MESSAGE), "message").alias("text"),
         F.concat(F.lit(f"{base_url}/monitors/"), "n").alias("source_uri"), F.lit("monitor").alias("kind"), F.lit(None).cast("string").alias("timestamp"),
         tag_value(F.col("tags"), "service").alias("service"), tag_value(F.col("tags"), "env").alias("environment"),
         _json(monitor_type=F.col("monitor_type"), query=F.col("query"), tags=F.col("tags")).alias("metadata"),
@@ -67,12 +70,12 @@ def incidents(raw: DataFrame, column: str = "payload", base_url: str = BASE_URL)
     v = F.col("v")
     df = _items(raw, column, "$.data").select(
         _text(v, "$.id").alias("n"), _text(v, "$.attributes.title").alias("title"), _text(v, "$.attributes.customer_impact_scope").alias("customer_impact"),
-        _text(v, "$.attributes.severity", "UNKNOWN").alias("severity"), _text(v, "$.attributes.created", None).alias("timestamp"),
+        _text(v, "$.attributes.severity", NO_SEVERITY).alias("severity"), _text(v, "$.attributes.created", None).alias("timestamp"),
         _text(v, "$.attributes.fields.service").alias("service"), _text(v, "$.attributes.fields.env").alias("environment"),
     )
     return df.select(
         F.concat(F.lit("incident_"), "n").alias("id"), "title",
-        F.concat("title", F.lit("\n\nSeverity: "), "severity", F.lit("\n\nCustomer Impact: "), "customer_impact").alias("text"),
+        F.concat("title", F.lit(SEVERITY), "severity", F.lit(IMPACT), "customer_impact").alias("text"),
         F.concat(F.lit(f"{base_url}/incidents/"), "n").alias("source_uri"), F.lit("incident").alias("kind"), "timestamp", "service", "environment",
         _json(severity=F.col("severity"), customer_impact=F.col("customer_impact")).alias("metadata"),
     )
@@ -90,7 +93,7 @@ def logs(raw: DataFrame, column: str = "payload", statuses: list[str] | None = N
     if newest is not None:
         df = df.orderBy(F.desc("timestamp"), "n").limit(newest)
     return df.select(
-        F.concat(F.lit("log_"), "n").alias("id"), F.concat(F.lit("Log: "), "service", F.lit(" - "), "status").alias("title"), "text",
+        F.concat(F.lit("log_"), "n").alias("id"), F.concat(F.lit(LOG_TITLE), "service", F.lit(" - "), "status").alias("title"), "text",
         F.concat(F.lit(f"{base_url}/logs?query=id:"), "n").alias("source_uri"), F.lit("logs").alias("kind"), "timestamp",
         "service", tag_value(F.col("tags"), "env").alias("environment"), _json(status=F.col("status"), tags=F.col("tags")).alias("metadata"),
     )
@@ -113,8 +116,8 @@ def metrics(raw: DataFrame, until: str, column: str = "payload", base_url: str =
     """``until``: the end of the window in which the metrics were active."""
     df = _items(raw, column, "$.metrics").select(_text(F.col("v"), "$").alias("n"))
     return df.select(
-        F.concat(F.lit("metric_"), F.replace("n", F.lit("."), F.lit("_"))).alias("id"), F.concat(F.lit("Metric: "), "n").alias("title"),
-        F.concat(F.lit("Active metric: "), "n").alias("text"), F.concat(F.lit(f"{base_url}/metric/explorer?metric="), percent_encoded(F.col("n"))).alias("source_uri"),
+        F.concat(F.lit("metric_"), F.replace("n", F.lit("."), F.lit("_"))).alias("id"), F.concat(F.lit(METRIC_TITLE), "n").alias("title"),
+        F.concat(F.lit(METRIC_TEXT), "n").alias("text"), F.concat(F.lit(f"{base_url}/metric/explorer?metric="), percent_encoded(F.col("n"))).alias("source_uri"),
         F.lit("metrics").alias("kind"), F.lit(until).alias("timestamp"), F.split_part("n", F.lit("."), F.lit(1)).alias("service"),
         F.lit("").alias("environment"), _json(metric_name=F.col("n")).alias("metadata"),
     )
@@ -129,7 +132,7 @@ def slos(raw: DataFrame, column: str = "payload", base_url: str = BASE_URL) -> D
     head = F.when(F.col("about") == "", F.col("title")).otherwise(F.concat("title", F.lit("\n\n"), "about"))
     return df.select(
         F.concat(F.lit("slo_"), "n").alias("id"), "title",
-        F.concat(head, F.lit("\n\nType: "), "slo_type", F.lit("\nTarget: "), shortest_number(F.col("target") * 100.0), F.lit("%")).alias("text"),
+        F.concat(head, F.lit(TYPE), "slo_type", F.lit(TARGET), shortest_number(F.col("target") * 100.0), F.lit("%")).alias("text"),
         F.concat(F.lit(f"{base_url}/slo/"), "n").alias("source_uri"), F.lit("sLO").alias("kind"), F.lit(None).cast("string").alias("timestamp"),
         tag_value(F.col("tags"), "service").alias("service"), tag_value(F.col("tags"), "env").alias("environment"),
         _json(slo_type=F.col("slo_type"), target=F.col("target"), tags=F.col("tags")).alias("metadata"),

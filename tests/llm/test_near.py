@@ -101,3 +101,17 @@ def test_packing():
     keys, cls = np.array([1, 2**24 - 1], np.uint64), np.array([2**48 - 1, 2**63 + 5], np.uint64)
     a, b = near._unpack([near._pack(keys, cls).tobytes()])
     assert a.tolist() == [1, 2**24 - 1] and b.tolist() == [2**48 - 1, 5]
+
+
+def test_the_count_filter_never_drops_a_similar_pair():
+    rng = random.Random(4)
+    words = near.Words()
+    for _ in range(300):
+        a = {f"w{rng.randint(0, 200)}" for _ in range(rng.randint(1, 60))}
+        b = {w for w in a if rng.random() > 0.12} | {f"x{rng.randint(0, 200)}" for _ in range(rng.randint(0, 6))}
+        flat, sizes = words([" ".join(a), " ".join(b)])
+        x, y = near.counted_bytes(flat, sizes)
+        differ = len(a ^ b)
+        assert (x == y).sum() >= near.COUNTED - differ
+        if b and len(a & b) / math.sqrt(len(a) * len(b)) >= 0.8:
+            assert (x == y).sum() >= near.least_tally(sizes[:1], sizes[1:], 0.8)[0]

@@ -270,8 +270,9 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
 
     blobs = docs.mapInArrow(post, "target int, blob binary").repartition(targets, "target").sortWithinPartitions("target")
     found = blobs.mapInArrow(tally, "a bigint, b bigint").distinct()
-    # Placed by ``cls`` once, which serves the merging and both joins.
-    sets = _members(docs, True).repartition("cls").groupBy("cls", "full").agg(F.first("words").alias("words"))
+    # Placed by ``cls`` once, which serves the merging, the sketches and both joins. The
+    # filter is the one that the joins infer; with it all of them share one exchange.
+    sets = _members(docs, True).where("cls is not null").repartition("cls").groupBy("cls", "full").agg(F.first("words").alias("words"))
     counted = sets.select("cls", "words").mapInArrow(sketch, "cls bigint, n int, counted binary")
     near = found.join(counted.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("counted").alias("ca")), "a").join(
         counted.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("counted").alias("cb")), "b"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from tidemark.llm import lookalike
+
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _SOLID = _SPACE.replace("[", "[^", 1)
 
@@ -20,3 +24,38 @@ ORACLES = {
  m as (select t.*, coalesce(s, 0) s from mix_target t left join size using (source))
  select mix_id, source from (select *, sum(s) over (partition by mix_id) whole from m) where target_share * total_ratio * whole > max_repeats * s""",
 }
+
+
+def _shape_sql(text: str) -> str:
+    """The shape of a text by chains of ``translate`` and ``replace``: every one-to-one form
+    and the ligatures (the SQL knows no other one-to-many forms)."""
+    one = {chr(c): x for c, x in lookalike._NORMAL.items() if len(x) == 1 and c < 0x10000 and x != "'"}
+    gone = "".join(sorted(chr(c) for c, x in lookalike._NORMAL.items() if not x and c < 0x10000))
+    letters = {chr(c): x for c, x in lookalike._SHAPE.items()}
+    for code in range(0x370, 0x590):
+        drawn = unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(code)).translate(lookalike._SHAPE))
+        if len(drawn) == 1 and drawn != chr(code):
+            letters[chr(code)] = drawn
+    out = f"translate({text}, '{''.join(one)}', '{''.join(one.values())}')"
+    out = f"regexp_replace({out}, '[{gone}]', '', 'g')"
+    for code in range(0xFB00, 0xFB07):
+        out = f"replace({out}, '{chr(code)}', '{unicodedata.normalize('NFKC', chr(code))}')"
+    return f"nfc_normalize(translate({out}, '{''.join(letters)}', '{''.join(letters.values())}'))"
+
+
+def _words_sql(text: str) -> str:
+    plain = f"regexp_replace({text}, '</?[A-Za-z][^<>]{{0,200}}>|&(?:[A-Za-z]{{2,8}}|#[0-9]{{1,6}});', ' ', 'g')"
+    capitals = {chr(c): x for c, x in lookalike._CASELESS.items()}
+    folded = f"translate(lower({_shape_sql(plain)}), '{''.join(capitals)}', '{''.join(capitals.values())}')"
+    return f"regexp_extract_all({folded}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+ORACLES["p9_found"] = f"""with f as materialized (select doc_id, text, {_shape_sql('text')} s from documents where doc_id is not null and text is not null)
+ select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.s = b.s and a.doc_id < b.doc_id where a.text <> b.text"""
+ORACLES["p7_found"] = f"""with i as materialized (select item_id, {_words_sql('text')} w from eval_item where item_id is not null and text is not null),
+ g as (select item_id, least(len(w), 12) n, w, unnest(range(1, len(w) - least(len(w), 12) + 2)) k from i where len(w) > 0),
+ p as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') gram from g),
+ d as materialized (select doc_id, {_words_sql('text')} w from documents where doc_id is not null and text is not null),
+ l as (select distinct n from p),
+ h as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) k from d, l where len(w) >= n)
+ select distinct doc_id, item_id from h join p on p.n = h.n and p.gram = array_to_string(h.w[h.k:h.k + h.n - 1], ' ')"""

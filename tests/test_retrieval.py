@@ -251,3 +251,11 @@ def test_stream_merges_and_replaces_stale_chunks(spark, tmp_path):
     assert run() == [("a#c0", 1), ("a#c1", 1), ("b#c0", 2)]
     land([(4, "a", "0123"), (5, "a", "01")])
     assert run() == [("a#c0", 5), ("b#c0", 2)]
+
+
+def test_shared_folder_is_the_one_of_the_session(spark):
+    from tidemark.session import shared_dir, written
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    df = written(spark.range(5), "x")
+    assert df.count() == 5 and df.inputFiles()[0].startswith(shared_dir(spark).replace("file:///", "file:///"))

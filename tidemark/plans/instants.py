@@ -51,7 +51,7 @@ QUERIES = {"p1_found": p1_found, "p1_instants": p1_instants}
 ORACLES: dict[str, str] = {}
 
 
-def _oracle() -> str:
+def _oracle(every: bool = False) -> str:
     """The same by SQL: one branch per notation, another way to read each of them."""
     offsets = " ".join(f"when '{k}' then {v}" for k, v in ABBREVIATIONS.items())
     months = " ".join(f"when '{m}' then {i + 1}" for i, m in enumerate(MONTHS))
@@ -83,7 +83,8 @@ def _oracle() -> str:
     rows = " union all ".join(
         f"select '{src}' src, {key} row_key, '{field}' field, \"{field}\" v, coalesce(nullif(trim({zone}), ''), 'UTC') zone from {src}" for src, key, field, zone in _FIELDS
     )
-    return f"""with raw as (select * from ({rows}) where v is not null and not regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z$')),
+    new = "" if every else r" and not regexp_matches(v, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$')"
+    return f"""with raw as (select * from ({rows}) where v is not null{new}),
  cells as ({" union all ".join(branches)}),
  n as (select src, row_key, field, zone, z, ap, y::int y, case when b <> '' then case lower(b) {months} end else nullif(m, '')::int end m, nullif(d, '')::int d, nullif(j, '')::int j, h::int h, mi::int mi, coalesce(nullif(s, ''), '0')::int s,
    rpad(f[1:6], 6, '0')::int f from cells),
@@ -101,3 +102,7 @@ def _oracle() -> str:
 
 
 ORACLES["p1_found"] = _oracle()
+ORACLES["p1_instants"] = f"""with i as ({_oracle(True)}), r as ({
+    " union all ".join(f"select '{src}' src, {key} row_key, '{field}' field, \"{field}\" v from {src}" for src, key, field, _ in _FIELDS)
+}) select r.src, r.field, count(*) n_rows, sum(case when v is null then 1 else 0 end)::bigint n_null, count(utc_us) n_instants, sum(case when v is not null and utc_us is null then 1 else 0 end)::bigint n_unreadable,
+ min(utc_us) first_us, max(utc_us) last_us from r left join i on i.src = r.src and i.row_key = r.row_key and i.field = r.field group by r.src, r.field"""

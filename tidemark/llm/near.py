@@ -41,7 +41,7 @@ GROUPS, GROUP_BYTES = 64, 6
 #: Positions of the bytes that are tallied per pair.
 COUNTED = 64
 #: Postings per reduce task.
-TASK_POSTINGS = 500_000
+TASK_POSTINGS = 2_000_000
 _RNG = np.random.default_rng(20240601)
 _MUL = _RNG.integers(1, 2**31, GROUPS * GROUP_BYTES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, GROUPS * GROUP_BYTES, dtype=np.int64).astype(np.uint32)
@@ -194,7 +194,7 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
     """``(pairs, members)``: pairs of word-set classes (``full_a``, ``full_b``, ``shared``,
     ``similarity``) at or above the threshold, and the ``id`` s of every class (``full``)."""
     docs = _clean(df, key, block, text)
-    targets = max(4, -(-df.count() * GROUPS // TASK_POSTINGS))
+    targets = max(8, -(-df.count() * GROUPS // TASK_POSTINGS))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()

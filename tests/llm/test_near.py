@@ -98,9 +98,9 @@ def test_block_names(spark):
 
 
 def test_packing():
-    keys, cls = np.array([1, 2**24 - 1], np.uint64), np.array([2**48 - 1, 2**63 + 5], np.uint64)
+    keys, cls = np.array([1, 2**32 - 1], np.uint64), np.array([2**48 - 1, 2**63 + 5], np.uint64)
     a, b = near._unpack([near._pack(keys, cls).tobytes()])
-    assert a.tolist() == [1, 2**24 - 1] and b.tolist() == [2**48 - 1, 5]
+    assert a.tolist() == [1, 2**32 - 1] and b.tolist() == [2**48 - 1, 5]
 
 
 def test_the_count_filter_never_drops_a_similar_pair():

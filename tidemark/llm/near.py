@@ -15,7 +15,7 @@ Method: a byte-position inverted index with count filtering, in three steps.
    of shared bytes is below the minimum that is guaranteed to every similar pair.
 3. Verification on the full word sets.
 
-Postings travel packed (9 bytes each, one binary value per batch and target), about 600
+Postings travel packed (10 bytes each, one binary value per batch and target), about 640
 bytes a document. Equal word sets are one class: they are posted
 once per batch, merged by class, and expanded only in the final result. Postings are
 spread by the hash of (block, run, bytes); no task ever holds a block.
@@ -41,7 +41,7 @@ GROUPS, GROUP_BYTES = 64, 6
 #: Positions of the bytes that are tallied per pair.
 COUNTED = 64
 #: Postings per reduce task.
-TASK_POSTINGS = 2_000_000
+TASK_POSTINGS = 1_000_000
 _RNG = np.random.default_rng(20240601)
 _MUL = _RNG.integers(1, 2**31, GROUPS * GROUP_BYTES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, GROUPS * GROUP_BYTES, dtype=np.int64).astype(np.uint32)
@@ -126,17 +126,17 @@ def least_tally(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    raw = np.empty((len(keys), 9), np.uint8)
-    raw[:, :3] = keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    raw[:, 3:] = cls.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    raw = np.empty((len(keys), 10), np.uint8)
+    raw[:, :4] = keys.astype("<u4").view(np.uint8).reshape(-1, 4)
+    raw[:, 4:] = cls.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     return raw
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 9)
-    key, cls = np.zeros((len(raw), 4), np.uint8), np.zeros((len(raw), 8), np.uint8)
-    key[:, :3], cls[:, :6] = raw[:, :3], raw[:, 3:]
-    return key.view("<u4").ravel(), cls.view("<u8").ravel()
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 10)
+    cls = np.zeros((len(raw), 8), np.uint8)
+    cls[:, :6] = raw[:, 4:]
+    return np.ascontiguousarray(raw[:, :4]).view("<u4").ravel(), cls.view("<u8").ravel()
 
 
 def _pairs(key: np.ndarray, cls: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,7 +216,7 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
             who = np.repeat(cls[first], GROUPS)
             target = ((keys >> np.uint64(32)) % np.uint64(targets)).astype(np.int64).ravel()
             order = np.argsort(target, kind="stable")
-            raw = _pack((keys.ravel() & np.uint64(0xFFFFFF))[order], who[order])
+            raw = _pack((keys.ravel() & np.uint64(0xFFFFFFFF))[order], who[order])
             cut = np.searchsorted(target[order], np.arange(targets + 1))
             there = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(

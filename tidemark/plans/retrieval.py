@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings, TopK
 from tidemark.functions import exprs as E
-from tidemark.functions.instants import with_utc_micros
-from tidemark.operators import context, rerank, search, store
+from tidemark.operators import context, requested, rerank, search, store
 from tidemark.operators.chunking import chunk
 from tidemark.operators.embed import hash_embedding
 from tidemark.operators.planner import ENVIRONMENT, SERVICE, plan
@@ -344,18 +343,11 @@ def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def request_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per request by its own time range (any notation), service and environment."""
-    asked = with_utc_micros(table(spark, sf_dir, "ask_request"), "from_utc", "client_zone", "a")
-    asked = with_utc_micros(asked, "to_utc", "client_zone", "b").select("request_id", F.col("service").alias("s"), F.col("env").alias("e"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    asked = asked.where("s is not null and s <> '' and a is not null and b is not null")
-    docs = with_utc_micros(table(spark, sf_dir, "rag_document"), "timestamp", "source_zone", "t").select("id", "service", "environment", "t").where("t is not null")
-    # Stretches of 30 days bound the range join: an equality on service and stretch, then
-    # the exact range.
-    width = 30 * 86_400_000_000
-    asked = asked.withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
-    docs = docs.withColumn("part", F.floor(F.col("t") / width))
-    hits = asked.join(docs, (asked["s"] == docs["service"]) & (asked["part"] == docs["part"])).where("t >= a and t < b and (e is null or e = environment)")
-    return hits.groupBy("request_id").agg(F.countDistinct("id").alias("n_documents"))
+    """Documents per request by its own time range (any notation), service, environment and
+    tags, each of them optional."""
+    asked = table(spark, sf_dir, "ask_request").select("request_id", "service", "env", "from_utc", "to_utc", "client_zone", "filters")
+    docs = table(spark, sf_dir, "rag_document").select("id", "service", "environment", "timestamp", "source_zone", "metadata")
+    return requested.counts(asked, docs)
 
 
 # ---------------------------------------------------------------- questions

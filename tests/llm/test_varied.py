@@ -67,3 +67,19 @@ def test_a_request_over_the_block_size(spark, monkeypatch):
     rows = [(1, f"h{i:04d}", None, (i % 97) / 97, f"k{i % 3}", f"w{i % 50}a w{i % 50}b w{i % 50}c") for i in range(1000)]
     got = choose(spark, rows, [(1, 10)])[1]
     assert len(got) == 10 and got == choose(spark, rows, [(1, 10)])[1]
+
+
+def test_a_large_request_is_chosen_like_a_small_one(spark, monkeypatch):
+    rng = random.Random(7)
+    story = [(1, f"s{i:02}", None, 0.9 - i / 100, "git", f"one broken queue in zone {i}") for i in range(10)]
+    rows = story + [(1, f"t{i:02}", None, 0.1 - i / 10000, "git", f"a{i} b{i} c{i}") for i in range(60)]
+    # Stories linked by a chain of texts or a parent, all kinds, few and missing scores.
+    for i in range(400):
+        j = rng.randint(0, 60)
+        text = rng.choice([f"x{j} y{j} x{j + 1} y{j + 1}", f"u{i} v{i}", None])
+        rows.append((2, f"h{i:03}", rng.choice([None, None, None, f"p{i % 40}"]), rng.choice([None, rng.random(), rng.random(), rng.random()]), f"k{rng.randint(0, 3)}", text))
+    takes = [(1, 10), (2, 12)]
+    exact = choose(spark, rows, takes)
+    assert sum(i.startswith("s") for i in exact[1]) == 3
+    monkeypatch.setattr(R, "BLOCK", 50)
+    assert choose(spark, rows, takes) == exact

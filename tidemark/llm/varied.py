@@ -8,10 +8,13 @@ balanced target and rising costs beyond it) through the combinations to the stor
 score in it. The cheapest flow gives the quota of every combination, which is filled by
 rank: score, then id.
 
-A request of more than ``BLOCK`` hits is first thinned in blocks: of each kind in a
-block only the best hits by place within their story can be chosen, four times ``take``
-of them are kept, and blocks are merged again until a request fits. Thus no task holds
-an unbounded request.
+A request of more than ``BLOCK`` hits gets its stories from a distributed join: its hits
+fall into parts, each two parts meet in a task of about ``BLOCK`` hits, and the links found
+are joined to components. Then hits that no cheapest flow needs are left out: of a kind and
+story only the best ``take`` can be used, and of a kind only the ``take`` stories with the
+best first hits matter (the units of another story could go to first hits of those that are
+unused, for no less score and no more cost). Thus no task holds an unbounded request, and
+the choice costs the same as the one from all hits.
 
 Defined results: repeated rows of an id count once (best score); null and NaN scores
 rank last and earn nothing; null or blank kinds are one kind; null texts are stories of
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import written
@@ -41,7 +45,7 @@ OVERUSE_STEP, NEW_KIND = 0.04, 0.3
 
 
 def stories(texts: list[str | None], parents: list[str | None]) -> list[int]:
-    """The story of every hit: linked by alike word sets or a common parent."""
+    """The story of every hit, named by its first one: linked by alike word sets or a common parent."""
     n = len(texts)
     head = list(range(n))
 
@@ -51,6 +55,10 @@ def stories(texts: list[str | None], parents: list[str | None]) -> list[int]:
             i = head[i]
         return i
 
+    def link(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        head[max(i, j)] = min(i, j)
+
     sets = [set((t or "").lower().split()) for t in texts]
     numbers: dict[str, int] = {}
     for s in sets:
@@ -61,16 +69,17 @@ def stories(texts: list[str | None], parents: list[str | None]) -> list[int]:
         m = np.zeros((n, len(numbers)), np.float32)
         for i, s in enumerate(sets):
             m[i, [numbers[w] for w in s]] = 1.0
-        size = np.sqrt(np.maximum(1.0, m.sum(1)))
+        size = m.sum(1).astype(np.float64)
         for at in range(0, n, 512):
-            alike = (m[at : at + 512] @ m.T) / (size[at : at + 512, None] * size[None, :])
-            for i, j in zip(*np.nonzero(alike >= STORY), strict=True):
+            # Squares, as counts of words are exact: the result can't depend on rounding.
+            shared = (m[at : at + 512] @ m.T).astype(np.float64)
+            for i, j in zip(*np.nonzero((shared > 0) & (shared * shared >= STORY * STORY * size[at : at + 512, None] * size[None, :])), strict=True):
                 if at + i < j:
-                    head[find(int(j))] = find(int(at + i))
+                    link(int(at + i), int(j))
     first: dict[str, int] = {}
     for i, p in enumerate(parents):
         if p is not None:
-            head[find(i)] = find(first.setdefault(p, i))
+            link(first.setdefault(p, i), i)
     return [find(i) for i in range(n)]
 
 
@@ -78,11 +87,10 @@ def _worth(score: float | None) -> float:
     return 0.0 if score is None or math.isnan(score) else float(score)
 
 
-def _ranked(hits: list[dict]) -> dict[tuple[str, int], list[dict]]:
-    combos: dict[tuple[str, int], list[dict]] = {}
-    for h, s in zip(hits, stories([h["text"] for h in hits], [h["parent"] for h in hits]), strict=True):
-        h["story"] = s
-        combos.setdefault((h["kind"], s), []).append(h)
+def _ranked(hits: list[dict]) -> dict[tuple[str, str], list[dict]]:
+    combos: dict[tuple[str, str], list[dict]] = {}
+    for h in hits:
+        combos.setdefault((h["kind"], h["story"]), []).append(h)
     for rows in combos.values():
         rows.sort(key=_rank)
     return combos
@@ -93,7 +101,7 @@ def _rank(h: dict) -> tuple:
     return (missing, -_worth(h["score"]), h["id"])
 
 
-def quotas(scores: dict[tuple[str, int], list[float]], take: int) -> dict[tuple[str, int], int]:
+def quotas(scores: dict[tuple[str, int | str], list[float]], take: int) -> dict[tuple[str, int | str], int]:
     """How many hits of each (kind, story) the cheapest flow of ``take`` units takes."""
     kinds = sorted({k for k, _ in scores})
     told = sorted({s for _, s in scores})
@@ -137,7 +145,7 @@ def quotas(scores: dict[tuple[str, int], list[float]], take: int) -> dict[tuple[
 
 
 def pick(hits: list[dict], take: int) -> list[dict]:
-    """The chosen hits of one request, best first."""
+    """The chosen hits of one request with their stories, best first."""
     if take < 1 or not hits:
         return []
     combos = _ranked(hits)
@@ -146,16 +154,6 @@ def pick(hits: list[dict], take: int) -> list[dict]:
     return sorted(out, key=_rank)
 
 
-def _thin(hits: list[dict], take: int) -> list[dict]:
-    by_kind: dict[str, list[tuple]] = {}
-    for (kind, _), rows in _ranked(hits).items():
-        by_kind.setdefault(kind, []).extend((place, *_rank(h), n, h) for n, (place, h) in enumerate(enumerate(rows)))
-    return [x[-1] for rows in by_kind.values() for x in sorted(rows, key=lambda x: x[:4])[: 4 * max(1, take)]]
-
-
-_HIT = "id string, parent string, score float, kind string, text string"
-
-
 def select(hits: DataFrame, requests: DataFrame) -> DataFrame:
     """``request_id``, ``id``, ``kind``, ``score``, ``story``, ``place``: the choice for every
     request. ``hits`` as delivered, ``requests`` with ``request_id`` and ``take``."""
@@ -169,27 +167,66 @@ def select(hits: DataFrame, requests: DataFrame) -> DataFrame:
     clean = clean.withColumn("score", score).groupBy("request_id", "id").agg(
         F.max(F.struct("score", "kind", "text", "parent")).alias("h")
     ).select("request_id", F.struct("id", "h.parent", "h.score", "h.kind", "h.text").alias("hit"))
-    while True:
-        sizes = clean.groupBy("request_id").agg(F.count("*").alias("n"))
-        if sizes.where(F.col("n") > BLOCK).isEmpty():
-            break
-        blocks = clean.join(sizes, "request_id").join(take, "request_id")
-        part = F.pmod(F.xxhash64("hit.id"), F.ceil(F.col("n") / BLOCK))
-        grouped = blocks.groupBy("request_id", "take", part.alias("part")).agg(F.collect_list("hit").alias("hits"), F.first("n").alias("n"))
-        before = clean.count()
-        clean = written(grouped.mapInArrow(_thinned, f"request_id {clean.schema['request_id'].dataType.simpleString()}, hit struct<{_HIT.replace(' string', ':string').replace(' float', ':float')}>"), "hits")
-        if clean.count() >= before:
-            break
-    whole = clean.groupBy("request_id").agg(F.collect_list("hit").alias("hits")).join(take, "request_id")
+    sizes = clean.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hit = F.struct("hit.id", "hit.parent", "hit.score", "hit.kind", "hit.text", F.lit(None).cast("string").alias("story"))
+    if sizes.isEmpty():
+        whole = clean.select("request_id", hit.alias("hit"))
+    else:
+        sizes = written(sizes, "hits")
+        large = written(clean.join(sizes, "request_id").join(take.where("take > 0"), "request_id"), "hits")
+        whole = clean.join(sizes, "request_id", "left_anti").select("request_id", hit.alias("hit")).unionAll(_needed(large))
+    whole = whole.groupBy("request_id").agg(F.collect_list("hit").alias("hits")).join(take, "request_id")
     ddl = f"request_id {clean.schema['request_id'].dataType.simpleString()}, id string, kind string, score float, story string, place int"
     return whole.select("request_id", "take", "hits").mapInArrow(_picked, ddl)
 
 
-def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labels(large: DataFrame, rounds: int = 500) -> DataFrame:
+    """``request_id``, ``id``, ``story`` of the hits that have links: the smallest id of the story."""
+    parts = F.ceil(2 * F.col("n") / BLOCK)
+    met = large.select("request_id", "hit.id", "hit.text", F.pmod(F.xxhash64("hit.id"), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other")).where("part <> other")
+    met = met.groupBy("request_id", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_list(F.struct("id", "text")).alias("hits"))
+    links = met.select("request_id", "hits").mapInArrow(_linked, f"request_id {large.schema['request_id'].dataType.simpleString()}, u string, v string")
+    one = large.where("hit.parent is not null").groupBy("request_id", "hit.parent").agg(F.min("hit.id").alias("u"))
+    chunks = large.select("request_id", "hit.parent", F.col("hit.id").alias("v")).join(one, ["request_id", "parent"]).where("u <> v").select("request_id", "u", "v")
+    links = links.unionAll(chunks)
+    links = written(links.unionAll(links.select("request_id", "v", "u")).distinct(), "hits-links")
+    labels = written(links.select("request_id", "u", F.col("u").alias("label")).distinct(), "hits-labels")
+    for _ in range(rounds):
+        lower = links.join(labels.select("request_id", F.col("u").alias("v"), "label"), ["request_id", "v"]).groupBy("request_id", "u").agg(F.min("label").alias("near"))
+        best = labels.join(lower, ["request_id", "u"]).select("request_id", "u", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        # Pointer jumping: take the label of one's label.
+        jump = best.select("request_id", F.col("u").alias("label"), F.col("label").alias("far"))
+        after = written(best.join(jump, ["request_id", "label"]).select("request_id", "u", F.least("label", "far").alias("label"), "was"), "hits-labels")
+        labels = after.select("request_id", "u", "label")
+        if after.where("label <> was").isEmpty():
+            return labels.select("request_id", F.col("u").alias("id"), F.col("label").alias("story"))
+    raise RuntimeError(f"stories not settled after {rounds} rounds")
+
+
+def _needed(large: DataFrame) -> DataFrame:
+    """``request_id`` and ``hit`` with its story: those that a cheapest flow can need."""
+    hits = large.select("request_id", "take", "hit.id", "hit.kind", "hit.score").join(_labels(large), ["request_id", "id"], "left").withColumn("story", F.coalesce("story", "id"))
+    combo = W.partitionBy("request_id", "kind", "story")
+    hits = hits.withColumn("place", F.row_number().over(combo.orderBy(F.desc_nulls_last("score"), "id"))).where("place <= take")
+    worth = F.coalesce("score", F.lit(0.0).cast("float"))
+    # Below zero a null score is worth more than the hits ranked before it.
+    tops = hits.groupBy("request_id", "kind", "story", "take").agg(F.max(F.when(F.col("place") == 1, worth)).alias("first"), F.max(worth).alias("most"))
+    tops = tops.withColumn("r", F.row_number().over(W.partitionBy("request_id", "kind").orderBy(F.desc("first"), "story")))
+    tops = tops.withColumn("least", F.max(F.when(F.col("r") == F.col("take"), F.col("first"))).over(W.partitionBy("request_id", "kind"))).where("r <= take or most > least")
+    kept = hits.join(tops.select("request_id", "kind", "story"), ["request_id", "kind", "story"], "left_semi")
+    none = F.lit(None).cast("string")
+    return kept.select("request_id", F.struct("id", none.alias("parent"), "score", "kind", none.alias("text"), "story").alias("hit"))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(r["request_id"], {k: h[k] for k in ("id", "parent", "score", "kind", "text")}) for r in batch.to_pylist() for h in (_thin(r["hits"], r["take"]) if r["n"] > BLOCK else r["hits"])]
-        hit = pa.struct([("id", pa.string()), ("parent", pa.string()), ("score", pa.float32()), ("kind", pa.string()), ("text", pa.string())])
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=batch.schema.field("request_id").type), pa.array([r[1] for r in rows], type=hit)], names=["request_id", "hit"])
+        rows = []
+        for r in batch.to_pylist():
+            head = stories([h["text"] for h in r["hits"]], [None] * len(r["hits"]))
+            rows += [(r["request_id"], r["hits"][i]["id"], h["id"]) for i, h in zip(head, r["hits"], strict=True) if r["hits"][i] is not h]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        kinds = [batch.schema.field("request_id").type, pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=["request_id", "u", "v"])
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +234,11 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             hits = sorted(r["hits"], key=lambda h: h["id"])
+            if hits[0]["story"] is None:
+                for h, i in zip(hits, stories([h["text"] for h in hits], [h["parent"] for h in hits]), strict=True):
+                    h["story"] = hits[i]["id"]
             for place, h in enumerate(pick(hits, r["take"]), 1):
-                rows.append((r["request_id"], h["id"], h["kind"], h["score"], hits[h["story"]]["id"], place))
+                rows.append((r["request_id"], h["id"], h["kind"], h["score"], h["story"], place))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [batch.schema.field("request_id").type, pa.string(), pa.string(), pa.float32(), pa.string(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=["request_id", "id", "kind", "score", "story", "place"])

@@ -5,7 +5,11 @@
 
 gives rows of ``kind`` and ``payload`` for the readers in ``observability.py``. Every kind is
 one partition; with ``slices`` the time range of logs, incidents and metrics is cut in so
-many parts that are fetched in parallel. An error status fails the read.
+many parts that are fetched in parallel. Logs and incidents come in pages of ``page`` rows,
+a row of the result each: all pages are fetched, by the cursor or offset that the response
+names, else by a counted offset or by halving the time range. ``max_pages`` (per slice)
+is a cap for those who want one. An error status, or a full page of a second that nothing
+leads on from, fails the read.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import json
 import urllib.parse
 import urllib.request
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +32,7 @@ ROUTES = {
     "logs": "/api/v2/logs/events/search",
 }
 TIMED = {"metrics", "incident", "logs"}
+PAGED = {"incident", "logs"}
 PAGE = 100
 
 
@@ -66,24 +72,69 @@ class _Reader(DataSourceReader):
         return parts
 
     def read(self, part: _Slice):
-        url = self.options["url"].rstrip("/") + ROUTES[part.kind]
+        if part.kind not in PAGED:
+            query = "?" + urllib.parse.urlencode({"from": part.start, "to": part.end}) if part.kind in TIMED else ""
+            yield (part.kind, self._fetch(ROUTES[part.kind] + query))
+            return
+        most = int(self.options.get("max_pages", "0"))
+        for n, text in enumerate(self._pages(part.kind, part.start, part.end), 1):
+            yield (part.kind, text)
+            if n == most:
+                return
+
+    def _fetch(self, route: str, ask: dict | None = None) -> str:
         headers = {"Content-Type": "application/json", **json.loads(self.options.get("headers", "{}"))}
-        iso = lambda s: datetime.fromtimestamp(s, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-        body = None
-        if part.kind == "metrics":
-            url += "?" + urllib.parse.urlencode({"from": part.start, "to": part.end})
-        elif part.kind in TIMED:
-            ask: dict = {"filter": {"from": iso(part.start), "to": iso(part.end)}}
-            page = int(self.options.get("page", PAGE))
-            if part.kind == "logs":
-                ask["filter"]["query"] = self.options.get("query", "status:error OR status:warn")
-                ask |= {"page": {"limit": page}, "sort": "-timestamp"}
-            else:
-                ask["page"] = {"size": page}
-            body = json.dumps(ask).encode()
-        request = urllib.request.Request(url, body, headers)
+        request = urllib.request.Request(self.options["url"].rstrip("/") + route, None if ask is None else json.dumps(ask).encode(), headers)
         with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", "60"))) as response:
-            yield (part.kind, response.read().decode())
+            return response.read().decode()
+
+    def _pages(self, kind: str, start: int, end: int) -> Iterator[str]:
+        """All pages of a time range. A full page whose next one can't be had is not
+        kept: both halves of the range are fetched instead."""
+        iso = lambda s: datetime.fromtimestamp(s, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        ask: dict = {"filter": {"from": iso(start), "to": iso(end)}}
+        size = int(self.options.get("page", PAGE))
+        if kind == "logs":
+            ask["filter"]["query"] = self.options.get("query", "status:error OR status:warn")
+            ask |= {"page": {"limit": size}, "sort": "-timestamp"}
+        else:
+            ask["page"] = {"size": size}
+        text, followed = self._fetch(ROUTES[kind], ask), set()
+        rows, after = _rows_and_next(kind, text)
+        while True:
+            if kind == "incident" and after is None and len(rows) >= size:
+                after = ask["page"].get("offset", 0) + len(rows)
+            halve = kind == "logs" and after is None and len(rows) >= size and not followed
+            if not halve and (after is None or not rows):
+                if rows or not followed:
+                    yield text
+                return
+            if not halve:
+                if after in followed:
+                    raise ValueError(f"{kind}: the page after {after} leads back to itself")
+                ask["page"]["cursor" if kind == "logs" else "offset"] = after
+                following = self._fetch(ROUTES[kind], ask)
+                more = _rows_and_next(kind, following)
+                if more[0] != rows:
+                    yield text
+                    followed.add(after)
+                    text, (rows, after) = following, more
+                    continue
+            # The server knows no next page, or gave the first one again.
+            if followed or end - start <= 1:
+                raise ValueError(f"{kind}: a full page of {size} rows from {iso(start)} to {iso(end)} and no way to the next; ask for larger pages")
+            middle = (start + end) // 2
+            yield from self._pages(kind, start, middle)
+            yield from self._pages(kind, middle, end)
+            return
+
+
+def _rows_and_next(kind: str, text: str) -> tuple[list, str | int | None]:
+    """The rows of a page and the cursor or offset of the next one, if the page names it."""
+    value = json.loads(text)
+    meta = value.get("meta") or {}
+    after = (meta.get("page") or {}).get("after") if kind == "logs" else (meta.get("pagination") or {}).get("next_offset")
+    return value.get("data") or [], after
 
 
 class ObservabilitySource(DataSource):

@@ -73,3 +73,17 @@ def test_long_lists_are_divided(spark, monkeypatch):
     for r in V.neighbours(frame(spark, rows), "id", "vector", 5).collect():
         got.setdefault(r["id"], set()).add(r["neighbour"])
     assert np.mean([len(got[i] & set(expected[i])) / 5 for i in expected]) >= 0.9
+
+
+def test_small_lists_give_queries_all_their_members(spark, monkeypatch):
+    monkeypatch.setattr(V, "LIST_SIZE", 4)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 8))
+    point = np.repeat(centre, 4, 0) + rng.normal(size=(24, 8)) * 0.05
+    query = np.repeat(centre, 2, 0) + rng.normal(size=(12, 8)) * 0.05
+    rows, asked = [(f"p{i:02}", x.tolist()) for i, x in enumerate(point)], [(f"q{i:02}", x.tolist()) for i, x in enumerate(query)]
+    cosine = (query / np.linalg.norm(query, axis=1, keepdims=True)) @ (point / np.linalg.norm(point, axis=1, keepdims=True)).T
+    got = {}
+    for r in V.neighbours(frame(spark, rows), "id", "vector", 5, queries=frame(spark, asked), probe_ratio=1e9).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    assert got == {f"q{i:02}": {f"p{j:02}" for j in np.argsort(-c)[:5]} for i, c in enumerate(cosine)}

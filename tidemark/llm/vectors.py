@@ -197,7 +197,8 @@ def nearest_classes(points: DataFrame, queries: DataFrame | None, k: int, min_sc
             qc, qx = (mc, mx) if not held[1] else load(held[1] + held[2])
             if not len(mc) or not len(qc):
                 return
-            m = min(k, len(mc) - 1) if len(mc) > 1 else 1
+            # The query itself may be a member or not; its own row fails the score below.
+            m = min(k, len(mc))
             for at in range(0, len(qc), 1024):
                 score = qx[at : at + 1024] @ mx.T
                 score[qc[at : at + 1024, None] == mc[None, :]] = -2.0

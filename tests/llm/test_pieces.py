@@ -66,3 +66,10 @@ def test_latest(spark):
 
 def test_forced_means_a_stretch_over_the_limit():
     assert re.search(r"\S{1801,}", "x" * 1801) and not re.search(r"\S{1801,}", "x" * 1800)
+
+
+def test_a_long_sentence_leaves_room_for_the_overlap():
+    # Sentences of 46 to 50 characters behind the first piece, over 50 less 10.
+    text = "Short start of a text here now. " + "word, " * 7 + "last. " + "and some more words that go on until here end. " + "x" * 50 + " end"
+    got = whole(text)
+    assert all(b - a >= 5 for a, b, _ in got[1:])

@@ -10,8 +10,9 @@ number of atoms, so very long texts stay cheap.
 
 Defined results: null and empty texts give no piece; a text within the limit is one
 piece; nothing is stripped, so the pieces without their overlaps are the text; an
-unbroken stretch is never cut before a combining mark or joiner; where a piece has less
-room than the overlap, it repeats what fits.
+unbroken stretch is never cut before a combining mark or joiner; behind the first piece
+sentences, lines and stretches over the limit less the overlap are split, too, so every
+piece has room for the overlap.
 """
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ def _cut(text: str, start: int, end: int) -> int:
 def atoms(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(end, strength of the boundary behind) of every atom."""
     out: list[tuple[int, int]] = []
+    step = max(1, limit - overlap)
 
     def split(start: int, end: int, strength: int, finer: list[tuple[re.Pattern, int]]) -> None:
-        if end - start <= limit:
+        # Only the start of the text needs no room for an overlap.
+        if end - start <= (step if start else limit):
             out.append((end, strength))
             return
         if finer:
@@ -64,7 +67,6 @@ def atoms(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                     at = m.end()
             split(at, end, strength, finer[1:])
             return
-        step = max(1, limit - overlap)
         at = start
         while end - at > step:
             at = _cut(text, at, at + step)

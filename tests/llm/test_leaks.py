@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import leaks as K
 
@@ -84,3 +85,12 @@ def test_removal_spans(spark):
     df = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 4, 9), (1, 2, 9, 10), (1, 3, 20, 25), (2, 1, 3, 4)], "doc_id bigint, item_id bigint, word_from bigint, word_to bigint")
     got = {r["doc_id"]: ([tuple(s) for s in r["spans"]], r["n_items"]) for r in K.removal_spans(df, "doc_id").collect()}
     assert got == {1: ([(0, 10), (20, 25)], 3), 2: ([(3, 4)], 1)}
+
+
+def test_more_items_than_the_bound_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(K, "MAX_WORDS", 6)
+    assert found(spark, [(1, "a")], [(i, "one") for i in range(6)]) == []
+    with pytest.raises(ValueError, match="more than 6"):
+        found(spark, [(1, "a")], [(i, "") for i in range(7)])
+    with pytest.raises(ValueError, match="more than 6"):
+        found(spark, [(1, "a")], [(i, "one two") for i in range(4)])

@@ -166,10 +166,10 @@ def _shard_hits(bodies: list[str], phrases: Phrases) -> list[tuple[int, int, int
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW) -> DataFrame:
     """``key``, ``item_id``, ``word_from``, ``word_to``: the spans (in words of the document)
     that every item has in a document; overlapping and touching spans are merged."""
-    rows = items.select(F.col(item_key).cast("bigint"), F.col(item_text)).where(f"`{item_key}` is not null and `{item_text}` is not null").limit(MAX_WORDS // 2).collect()
+    rows = items.select(F.col(item_key).cast("bigint"), F.col(item_text)).where(f"`{item_key}` is not null and `{item_text}` is not null").limit(MAX_WORDS + 1).collect()
     told = [(r[0], words_of(r[1])) for r in sorted(rows)]
-    if sum(len(w) for _, w in told) > MAX_WORDS:
-        raise ValueError(f"evaluation items of more than {MAX_WORDS} words; split them")
+    if len(rows) > MAX_WORDS or sum(len(w) for _, w in told) > MAX_WORDS:
+        raise ValueError(f"evaluation items of more than {MAX_WORDS} words or rows; split them")
     blocks: list[list] = [[]]
     size = 0
     for item, words in told:

@@ -1,5 +1,5 @@
 from datetime import datetime
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 import pytest
 from hypothesis import given, settings
@@ -40,6 +40,12 @@ CASES = [
     ("2025-04-06T01:14:29+11", None, at("2025-04-05T14:14:29")),
     ("2025-10-04T09:55:41+01:00[Europe/London]", "Asia/Tokyo", at("2025-10-04T08:55:41")),
     ("2024-10-16 14:19:26 Australia/Sydney", "UTC", at("2024-10-16T14:19:26", "Australia/Sydney")),
+    ("01/10/2025 12:17:10 AM America/New_York", None, at("2025-01-10T00:17:10", "America/New_York")),
+    ("01/10/2025 12:17 p.m. PST", None, at("2025-01-10T20:17:00")),
+    ("2025-01-31 08:05:09 UTC+02:00", "Asia/Tokyo", at("2025-01-31T06:05:09")),
+    ("2025-01-31T08:05:09GMT-3", "Asia/Tokyo", at("2025-01-31T11:05:09")),
+    ("2025-01-31", None, None),
+    ("2025-W05-5T08:05:09Z", None, None),
     # A wall time that occurred twice means the first one, one that was skipped none.
     ("2024-11-03 01:30:00", "America/New_York", at("2024-11-03T05:30:00")),
     ("2024-03-10 02:54:10", "America/New_York", None),
@@ -90,6 +96,17 @@ def test_canonical(spark):
     assert [r[0] for r in df.select(is_canonical(F.col("v"))).collect()] == [True, False]
 
 
+@pytest.mark.parametrize("form", ["{} {}", "{}[{}]", "{}{}"])
+def test_a_bare_zone_of_every_region(spark, form):
+    regions: dict[str, str] = {}
+    for zone in sorted(available_timezones()):
+        if "/" in zone and zone[0].isupper() and not zone.startswith(("Etc", "System")):
+            regions.setdefault(zone.split("/")[0] + zone.split("/")[1][0], zone)
+    wall = "2025-01-15 10:20:30"
+    got = micros(spark, [(form.format(wall, z), None) for z in regions.values()])
+    assert {z: g for z, g in zip(regions.values(), got)} == {z: at(wall, z) for z in regions.values()} and len(got) > 60
+
+
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.datetimes(datetime(1980, 1, 1), datetime(2060, 1, 1)), st.sampled_from(["Europe/Berlin", "Asia/Kolkata", "America/Sao_Paulo", "Australia/Sydney"])), min_size=50, max_size=50))
 def test_zoned_walls_agree_with_the_library(spark, values):

@@ -9,7 +9,8 @@ generated by Spark; there is no Python in the path.
 Defined results: null, empty, relative words, impossible dates or times, unknown
 zone names or abbreviations, and wall times skipped by their zone give null. A wall
 time that occurred twice means its first occurrence. A null or blank zone column
-means UTC. A weekday in front of a date is not compared with the date.
+means UTC. A weekday in front of a date is not compared with the date. ``UTC`` or ``GMT``
+with an offset means the offset. A bare date and a date by week numbers name no instant.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ _DATES = [
     r"(?:[A-Za-z]{3,9}\.?,? +)?(?<b7>[A-Za-z]{3})[a-z]* +(?<d7>\d{1,2}),? +(?<y7>\d{4}),? +",
     r"(?<y9>\d{4})/(?<m9>\d{1,2})/(?<d9>\d{1,2})(?:[Tt]| +)",
 ]
-_ZONE = r"(?<zo>[+-]\d{2}(?::?\d{2})?)(?:\[[A-Za-z0-9_/+-]+\])?|(?<za>[A-Za-z]{1,5})(?:\[[A-Za-z0-9_/+-]+\])?|\[?(?<zn>[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)\]?"
+_ZONE = r"(?:(?<zo>[+-]\d{2}(?::?\d{2})?)|(?:UTC|GMT)(?<zg>[+-]\d{1,2}(?::\d{2})?))(?:\[[A-Za-z0-9_/+-]+\])?|(?<za>[A-Za-z]{1,5})(?:\[[A-Za-z0-9_/+-]+\])?|\[?(?<zn>[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)\]?"
 ALTERNATION = (
     r"^\s*(?:(?:" + "|".join(_DATES) + r")"
-    r"(?<H1>\d{1,2}):(?<M1>\d{2})(?::(?<S1>\d{2})(?:[.,](?<f1>\d{1,9}))?)?(?: ?(?<p1>[AaPp])\.?[Mm]\.?)?"
+    r"(?<H1>\d{1,2}):(?<M1>\d{2})(?::(?<S1>\d{2})(?:[.,](?<f1>\d{1,9}))?)?(?: ?(?<p1>[AaPp])\.?[Mm](?![A-Za-z/_])\.?)?"
     r"(?: *(?:" + _ZONE + r"))?"
     r"|(?<y8>\d{4})(?<m8>\d{2})(?<d8>\d{2})[Tt](?<H8>\d{2})(?<M8>\d{2})(?<S8>\d{2})?(?:[.,](?<f8>\d{1,9}))?"
     r"(?:(?<zo8>[+-]\d{2}(?::?\d{2})?)|(?<za8>[A-Za-z]{1,5}))?"
@@ -63,7 +64,7 @@ _COMPONENTS = {
     "S": ["S1", "S8"],
     "f": ["f1", "f8", "f2"],
     "p": ["p1"],
-    "zo": ["zo", "zo8"],
+    "zo": ["zo", "zg", "zo8"],
     "za": ["za", "za8"],
     "zn": ["zn"],
     "e": ["e1", "e2"],
@@ -111,7 +112,7 @@ def with_utc_micros(df: DataFrame, value: str, zone: str | None, out: str = "utc
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     place = F.position(F.lower(text("b")), F.lit("".join(MONTHS)))
     month = F.coalesce(number("m"), F.when(place % 3 == 1, F.floor((place + 2) / 3)))
-    digits = F.regexp_replace(text("zo"), "[+:-]", "")
+    digits = F.regexp_replace(F.regexp_replace(text("zo"), r"^([+-])(\d)(?=:|$)", "$10$2"), "[+:-]", "")
     offset = F.when(text("zo").startswith("-"), -1).otherwise(1) * (
         F.substring(digits, 1, 2).try_cast("long") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("long"), F.lit(0))
     )

@@ -56,7 +56,7 @@ def _oracle(every: bool = False) -> str:
     offsets = " ".join(f"when '{k}' then {v}" for k, v in ABBREVIATIONS.items())
     months = " ".join(f"when '{m}' then {i + 1}" for i, m in enumerate(MONTHS))
     part = lambda n: f"regexp_extract(v, p, {n})"
-    time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: *(.*?))?\s*$"
+    time = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:(\D.*))?$"
     # Pattern, then the numbers of the groups of year, month, day and of the first of the time.
     notations = [
         (r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[Tt]| +)", "y|m|d"),
@@ -73,25 +73,28 @@ def _oracle(every: bool = False) -> str:
         names = order.split("|")
         cell = lambda x, names=names: part(names.index(x) + 1) if x in names else "''"
         branches.append(
-            f"select src, row_key, field, zone, {cell('y')} y, {cell('m')} m, {cell('b')} b, {cell('d')} d, {cell('j')} j, {part(4)} h, {part(5)} mi, {part(6)} s, {part(7)} f, lower({part(8)}) ap, {part(9)} z "
+            f"select src, row_key, field, zone, {cell('y')} y, {cell('m')} m, {cell('b')} b, {cell('d')} d, {cell('j')} j, {part(4)} h, {part(5)} mi, {part(6)} s, {part(7)} f, trim({part(8)}) tail "
             f"from (select *, '{head}{time}' p from raw) where regexp_matches(v, p)"
         )
     compact = r"^\s*(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?)?\s*$"
     branches.append(
-        f"select src, row_key, field, zone, {part(1)}, {part(2)}, '', {part(3)}, '', {part(4)}, {part(5)}, {part(6)}, {part(7)}, '', {part(8)} from (select *, '{compact}' p from raw) where regexp_matches(v, p)"
+        f"select src, row_key, field, zone, {part(1)}, {part(2)}, '', {part(3)}, '', {part(4)}, {part(5)}, {part(6)}, {part(7)}, {part(8)} from (select *, '{compact}' p from raw) where regexp_matches(v, p)"
     )
     rows = " union all ".join(
         f"select '{src}' src, {key} row_key, '{field}' field, \"{field}\" v, coalesce(nullif(trim({zone}), ''), 'UTC') zone from {src}" for src, key, field, zone in _FIELDS
     )
     new = "" if every else r" and not regexp_matches(v, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$')"
     return f"""with raw as (select * from ({rows}) where v is not null{new}),
- cells as ({" union all ".join(branches)}),
+ parts as ({" union all ".join(branches)}),
+ -- The marker ends at a blank or at the end; anything else that begins with these letters is a zone.
+ marks as (select *, case when lower(split_part(tail, ' ', 1)) in ('am', 'a.m', 'a.m.', 'am.', 'pm', 'p.m', 'p.m.', 'pm.') then lower(tail[1]) else '' end ap from parts),
+ cells as (select *, case when ap = '' then tail else trim(tail[length(split_part(tail, ' ', 1)) + 1:]) end z from marks),
  n as (select src, row_key, field, zone, z, ap, y::int y, case when b <> '' then case lower(b) {months} end else nullif(m, '')::int end m, nullif(d, '')::int d, nullif(j, '')::int j, h::int h, mi::int mi, coalesce(nullif(s, ''), '0')::int s,
    rpad(f[1:6], 6, '0')::int f from cells),
  w as (select *, case when (ap = '' and h < 24 or ap <> '' and h between 1 and 12) and mi < 60 and s < 60 then
    coalesce(try_cast(y || '-' || m || '-' || d as date), case when j between 1 and 366 and year(make_date(y, 1, 1) + (j - 1)) = y then (make_date(y, 1, 1) + (j - 1))::date end)::timestamp
    + to_hours(case when ap = '' then h else h % 12 + case when ap = 'p' then 12 else 0 end end) + to_minutes(mi) + to_seconds(s) end wall,
-   regexp_extract(z, '^([+-])(\\d{{2}}):?(\\d{{2}})?(?:\\[[A-Za-z0-9_/+-]+\\])?$', 1) sign, regexp_extract(z, '^([+-])(\\d{{2}}):?(\\d{{2}})?(?:\\[[A-Za-z0-9_/+-]+\\])?$', 2) oh, regexp_extract(z, '^([+-])(\\d{{2}}):?(\\d{{2}})?(?:\\[[A-Za-z0-9_/+-]+\\])?$', 3) om from n),
+   regexp_extract(z, '^(?:UTC|GMT)?([+-])(\\d{{1,2}}):?(\\d{{2}})?(?:\\[[A-Za-z0-9_/+-]+\\])?$', 1) sign, regexp_extract(z, '^(?:UTC|GMT)?([+-])(\\d{{1,2}}):?(\\d{{2}})?(?:\\[[A-Za-z0-9_/+-]+\\])?$', 2) oh, regexp_extract(z, '^(?:UTC|GMT)?([+-])(\\d{{1,2}}):?(\\d{{2}})?(?:\\[[A-Za-z0-9_/+-]+\\])?$', 3) om from n),
  k as (select *, case when sign <> '' then case when sign = '-' then -1 else 1 end * (oh::int * 60 + coalesce(nullif(om, ''), '0')::int) when regexp_matches(z, '^[A-Za-z]{{1,5}}$') then case upper(z) {offsets} end end shift_min,
    case when z = '' then zone when contains(z, '/') and sign = '' then trim(z, '[]') end named from w where wall is not null),
  u as (select *, case when shift_min is not null and abs(shift_min) <= 1080 then epoch_us(wall) - shift_min * 60000000::bigint when named in (select name from pg_timezone_names()) then epoch_us(timezone(named, wall)) end us from k),

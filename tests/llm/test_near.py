@@ -111,7 +111,33 @@ def test_the_count_filter_never_drops_a_similar_pair():
         b = {w for w in a if rng.random() > 0.12} | {f"x{rng.randint(0, 200)}" for _ in range(rng.randint(0, 6))}
         flat, sizes = words([" ".join(a), " ".join(b)])
         x, y = near.counted_bytes(flat, sizes)
-        differ = len(a ^ b)
-        assert (x == y).sum() >= near.COUNTED - differ
+        (equal,), (many,) = near.tallied([x], [y])
+        assert equal >= many - len(a ^ b)
         if b and len(a & b) / math.sqrt(len(a) * len(b)) >= 0.8:
-            assert (x == y).sum() >= near.least_tally(sizes[:1], sizes[1:], 0.8)[0]
+            assert equal >= near.least_tally(sizes[:1], sizes[1:], many, 0.8)[0]
+
+
+def test_every_size_has_a_minimum_above_zero():
+    n = np.arange(1, 20_000)
+    for ratio in (0.64, 0.7, 0.8, 0.9, 1.0):
+        m = np.maximum(1, np.ceil(ratio * n)).astype(np.int64)
+        many = np.minimum(near.positions(n), near.positions(m))
+        assert (near.least_tally(n, m, many, 0.8) > 0).all()
+
+
+def test_long_lists_meet_part_by_part():
+    key = np.concatenate([np.zeros(5000, np.uint64), np.ones(3, np.uint64)])
+    cls = np.random.default_rng(3).choice(2**40, len(key), replace=False).astype(np.uint64)
+    key, cls = near._lists(np.concatenate([key, key[:9]]), np.concatenate([cls, cls[:9]]))
+    assert len(key) == 5003
+    parts = list(near._long(key, cls, 2048))
+    assert len(parts) == 6 and max(len(x) for x, _ in parts) == 2048 * 8
+    found = np.concatenate([np.stack(p, 1) for x, y in parts for p in near._crossed(x, y)])
+    assert len(found) == len(np.unique(found, axis=0)) == 5000 * 4999 // 2 and (found[:, 0] < found[:, 1]).all()
+
+
+def test_a_long_list_loses_no_pair(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(f"d{i:04d}", "hot", " ".join([*base, f"x{i}"])) for i in range(90)]
+    pairs, _ = near.similar_classes(frame(spark, rows), "id", "block", "text", part=16)
+    assert pairs.count() == len(rows) * (len(rows) - 1) // 2

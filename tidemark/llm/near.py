@@ -6,19 +6,23 @@ Method: a byte-position inverted index with count filtering, in three steps.
    position: the low byte of the smallest hash under the position's own hash function.
    Two sets share such a byte with the probability of their Jaccard similarity, which is
    0.64 or more at a cosine of 0.8. A posting of one byte would hold 1/256 of all rows, so
-   a posting is a run of ``GROUP_BYTES`` positions. A pair at the very threshold has no
-   run in common with a probability of about 0.5 %, one of 0.85 with 0.001 % (measured
-   recall: see the README).
-2. Count filter. Every set also gets ``COUNTED`` bytes, each the sum of the hashes of the
+   a posting is a run of ``GROUP_BYTES`` positions. This step is the only one that can lose
+   a pair: with a probability of 0.05 % at a cosine of 0.8 between sets of one size (at most
+   0.2 % between any), 0.0001 % at 0.85 (see the README for the exact index that was tried).
+2. Count filter. Every set also gets bytes to tally, each the sum of the hashes of the
    words that fall to its position. Sets that differ in d words share all but d of them,
    and d is bounded by the threshold and the sizes; so a pair is dropped only if its tally
-   of shared bytes is below the minimum that is guaranteed to every similar pair.
-3. Verification on the full word sets.
-
-Postings travel packed (10 bytes each, one binary value per batch and target), about 640
-bytes a document. Equal word sets are one class: they are posted
-once per batch, merged by class, and expanded only in the final result. Postings are
-spread by the hash of (block, run, bytes); no task ever holds a block.
+   of shared bytes is below the minimum that is guaranteed to every similar pair. The
+   number of positions grows with the set, so the minimum is above 0 for every size.
+3. Verification on the full word sets, as 32-bit hashes: two different words of a pair are
+   taken for one with a probability of 2e-10 per pair of words. Equal sets are recognised by
+   64 bits.
+
+Postings travel packed (10 bytes each, one binary value per batch and target), about 600
+bytes a document. Equal word sets are one class: they are posted once per batch, merged by
+class, and expanded only in the final result. Postings are spread by the hash of (block,
+run, bytes); no task ever holds a block, and a posting list of more than ``LIST_PART`` sets
+is cut into parts that meet in tasks of their own.
 
 Defined results: rows with null id, null or empty block, or a text without words are
 no part of any pair; a document id with several texts is similar by any of them;
@@ -31,17 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-GROUPS, GROUP_BYTES = 64, 6
-#: Positions of the bytes that are tallied per pair.
+GROUPS, GROUP_BYTES = 60, 5
+#: Positions of the bytes that are tallied per pair, at least.
 COUNTED = 64
-#: Postings per reduce task.
-TASK_POSTINGS = 1_000_000
+#: Postings per reduce task; sets of a posting list that meet in one task.
+TASK_POSTINGS, LIST_PART = 1_000_000, 2048
 _RNG = np.random.default_rng(20240601)
 _MUL = _RNG.integers(1, 2**31, GROUPS * GROUP_BYTES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, GROUPS * GROUP_BYTES, dtype=np.int64).astype(np.uint32)
@@ -111,18 +116,40 @@ def postings(sig: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return _mix(value ^ _mix(blocks[:, None] + np.arange(GROUPS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def counted_bytes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes to tally: a word changes the one byte of its position."""
-    mixed = _mix(flat.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    cell = np.repeat(np.arange(len(sizes)), sizes) * COUNTED + (mixed % np.uint64(COUNTED)).astype(np.int64)
-    total = np.bincount(cell, weights=((mixed >> np.uint64(32)) & np.uint64(0xFF)).astype(np.float64), minlength=len(sizes) * COUNTED)
-    return (total.astype(np.int64) & 0xFF).astype(np.uint8).reshape(len(sizes), COUNTED)
+def positions(sizes: np.ndarray) -> np.ndarray:
+    """How many bytes a set of each size has to tally: a power of two, ``COUNTED`` at least,
+    and more than the words in which two similar sets of about this size may differ."""
+    return np.maximum(COUNTED, 2 ** np.ceil(np.log2(np.maximum(1.0, 0.6 * sizes) - 1e-9)).astype(np.int64))
 
 
-def least_tally(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """The shared bytes guaranteed to sets of these sizes at or above the threshold."""
+def counted_bytes(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes to tally: a word changes the one byte of its position. The bytes of half as
+    many positions are the sums of both halves."""
+    many = positions(sizes)
+    start = np.cumsum(many) - many
+    mixed = _mix(flat.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    cell = np.repeat(start, sizes) + (mixed & np.repeat(many - 1, sizes).astype(np.uint64)).astype(np.int64)
+    total = np.bincount(cell, weights=((mixed >> np.uint64(32)) & np.uint64(0xFF)).astype(np.float64), minlength=int(many.sum()))
+    raw = (total.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+    return [raw[a : a + m] for a, m in zip(start.tolist(), many.tolist(), strict=True)]
+
+
+def tallied(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many positional bytes every pair shares, and of how many positions."""
+    many = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+    equal = np.zeros(len(left), np.int64)
+    fold = lambda raw, size: raw if len(raw) == size else np.frombuffer(raw, np.uint8).reshape(-1, size).sum(0, dtype=np.uint8).tobytes()
+    for size in np.unique(many).tolist():
+        here = np.flatnonzero(many == size)
+        x, y = (np.frombuffer(b"".join([fold(side[i], size) for i in here]), np.uint8).reshape(-1, size) for side in (left, right))
+        equal[here] = (x == y).sum(1)
+    return equal, many
+
+
+def least_tally(na: np.ndarray, nb: np.ndarray, many: np.ndarray, threshold: float) -> np.ndarray:
+    """The shared bytes of ``many`` positions guaranteed to sets of these sizes at or above the threshold."""
     shared = np.ceil(threshold * np.sqrt((na * nb).astype(np.float64)) - 1e-9)
-    return COUNTED - (na + nb - 2 * shared)
+    return many - (na + nb - 2 * shared)
 
 
 def _pack(keys: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -139,13 +166,18 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[:, :4]).view("<u4").ravel(), cls.view("<u8").ravel()
 
 
-def _pairs(key: np.ndarray, cls: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different classes with an equal key, smaller class first."""
+def _lists(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and class of every posting, in order and without repeats."""
     order = np.lexsort((cls, key))
     key, cls = key[order], cls[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls = key[new], cls[new]
+    return key[new], cls[new]
+
+
+def _pairs(key: np.ndarray, cls: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different classes with an equal key, smaller class first."""
+    key, cls = _lists(key, cls)
     end = np.searchsorted(key, key, side="right")
     here = np.flatnonzero(end - np.arange(len(key)) > 1)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -156,12 +188,35 @@ def _pairs(key: np.ndarray, cls: np.ndarray, limit: int = 200_000) -> Iterator[t
         step += 1
         here = here[here + step < end[here]]
         if size >= limit or not len(here):
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-            yield both[:, 0], both[:, 1]
+            yield _unique(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held, size = [], 0
 
 
+def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _long(key: np.ndarray, cls: np.ndarray, part: int) -> Iterator[tuple[bytes, bytes]]:
+    """Two parts each of every list of more than ``part`` classes, in all combinations."""
+    cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    for x in np.flatnonzero(np.diff(cut) > part):
+        parts = [cls[at : min(at + part, cut[x + 1])].tobytes() for at in range(cut[x], cut[x + 1], part)]
+        yield from ((p, q) for i, p in enumerate(parts) for q in parts[i:])
+
+
+def _crossed(left: bytes, right: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of two parts of a list (or of one part with itself)."""
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    for at in range(0, len(x), 128):
+        a, b = (v.ravel() for v in np.meshgrid(x[at : at + 128], y, indexing="ij"))
+        keep = a < b if left == right else a != b
+        yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+
+
 def _clean(df: DataFrame, key: str, block: str, text: str) -> DataFrame:
     out = df.select(F.col(key).cast("string").alias("id"), F.col(block).alias("block"), F.col(text).alias("text"))
     return out.where("id is not null and block is not null and block <> '' and text is not null and trim(text) <> ''")
@@ -190,7 +245,7 @@ def _members(docs: DataFrame, with_words: bool) -> DataFrame:
     return docs.mapInArrow(run, "cls bigint, full bigint, " + ("words binary" if with_words else "id string"))
 
 
-def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: float = 0.8, part: int = LIST_PART) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)``: pairs of word-set classes (``full_a``, ``full_b``, ``shared``,
     ``similarity``) at or above the threshold, and the ``id`` s of every class (``full``)."""
     docs = _clean(df, key, block, text)
@@ -224,9 +279,18 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
             )
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "left", "right"]
+
         def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for a, b in _pairs(*_unpack(blobs)):
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+            key, cls = _lists(*_unpack(blobs))
+            size = np.searchsorted(key, key, side="right") - np.searchsorted(key, key)
+            # A long list is no task's own: its parts meet in tasks of their own.
+            for left, right in _long(key, cls, part):
+                yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.int64())] * 2 + [pa.array([x], type=pa.binary()) for x in (left, right)], names=names)
+            short = size <= part
+            for a, b in _pairs(key[short], cls[short]):
+                none = pa.nulls(len(a), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), none, none], names=names)
 
         now, blobs = None, []
         for batch in batches:
@@ -239,6 +303,14 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
         if blobs:
             yield from flush(blobs)
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = batch.filter(pc.is_valid(batch.column(0)))
+            yield plain.select(["a", "b"])
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for a, b in _crossed(left, right) if left is not None else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
@@ -259,17 +331,19 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
             blobs = batch.column(1).to_pylist()
             size = np.array([len(x) // 4 for x in blobs], np.int64)
             rows = counted_bytes(np.frombuffer(b"".join(blobs), np.uint32), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["cls", "n", "counted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array(rows, type=pa.binary())], names=["cls", "n", "counted"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COUNTED) for i in (3, 5))
-            keep = (x == y).sum(1) >= least_tally(na, nb, threshold)
+            equal, many = tallied(batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            keep = equal >= least_tally(na, nb, many, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    blobs = docs.mapInArrow(post, "target int, blob binary").repartition(targets, "target").sortWithinPartitions("target")
-    found = blobs.mapInArrow(tally, "a bigint, b bigint").distinct()
+    # ``target`` is the number of a task already; hashing it again would fill some twice.
+    blobs = docs.mapInArrow(post, "target int, blob binary").repartitionById(targets, "target").sortWithinPartitions("target")
+    lists = blobs.mapInArrow(tally, "a bigint, b bigint, left binary, right binary").repartition("a", "b", "left", "right")
+    found = lists.mapInArrow(spread, "a bigint, b bigint").distinct()
     # Placed by ``cls`` once, which serves the merging, the sketches and both joins. The
     # filter is the one that the joins infer; with it all of them share one exchange.
     sets = _members(docs, True).where("cls is not null").repartition("cls").groupBy("cls", "full").agg(F.first("words").alias("words"))

@@ -3,6 +3,7 @@ import os
 import pytest
 
 from tidemark.llm import mixing as M
+from tidemark.session import written
 
 DOC = "doc_id bigint, source string, lang string, n_tokens bigint"
 MIX = "mix_id int, source string, target_share double, max_repeats int, total_ratio double"
@@ -10,8 +11,8 @@ MIX = "mix_id int, source string, target_share double, max_repeats int, total_ra
 
 def run(spark, docs, mixes, domains=None):
     sized = spark.createDataFrame(docs, DOC)
-    told, parts = M.plan(sized, spark.createDataFrame(mixes, MIX), domains or {})
-    return told, M.choose(sized, parts, "doc_id").collect()
+    parts = written(M.plan(sized, spark.createDataFrame(mixes, MIX), domains or {}), "budgets")
+    return parts.collect(), M.choose(sized, parts, "doc_id").collect()
 
 
 def tokens(rows, mix, source):
@@ -33,11 +34,26 @@ def test_shortages_go_to_siblings_before_other_branches():
     assert got == [5, 20, 75]
 
 
+def test_a_language_keeps_its_share_in_a_domain():
+    leaf = lambda d, l, s, w, c: {"domain": d, "lang": l, "source": s, "weight": w, "cap": c}  # noqa: E731,E741
+    leaves = [leaf("x", "de", "a", 0.2, 5), leaf("x", "de", "b", 0.2, 99), leaf("x", "en", "b", 0.2, 99), leaf("y", "en", "c", 0.4, 99)]
+    assert M.budget(leaves, M.LEVELS, 100) == pytest.approx([5, 35, 20, 40])
+    leaves[1]["cap"] = 21
+    assert M.budget(leaves, M.LEVELS, 100) == pytest.approx([5, 21, 34, 40])
+
+
+def test_a_source_is_short_only_if_its_leaves_are(spark):
+    docs = [(1, "a", "en", 10), (2, "a", "de", 30), (3, "b", "en", 100), (4, "c", "de", 60)]
+    told, _ = run(spark, docs, [(1, "a", 0.5, 2, 1.0), (1, "b", 0.3, 1, 1.0), (1, "c", 0.2, 1, 1.0)], {"a": "x", "b": "x", "c": "y"})
+    assert {t["source"] for t in told if t["unmet"] > 0} == {"a"}
+    assert sum(t["tokens"] for t in told) == pytest.approx(200) and all(t["tokens"] >= t["wanted"] - t["unmet"] - 1e-6 for t in told)
+
+
 def test_shares_and_repeats(spark):
     docs = [(i, "big", "en" if i % 2 else None, 10) for i in range(1000)] + [(2000 + i, "small", "en", 10) for i in range(50)]
     told, rows = run(spark, docs, [(1, "big", 0.5, 1, 0.2), (1, "small", 0.5, 3, 0.2), (2, "big", 0.2, 1, 1.0), (2, "small", 0.8, 2, 1.0), (2, "none", 0.0, 2, 1.0)])
     assert abs(tokens(rows, 1, "big") - 1050) <= 20 and abs(tokens(rows, 1, "small") - 1050) <= 10
-    assert {(t["mix_id"], t["source"]) for t in told if t["short"]} == {(2, "small")}
+    assert {(t["mix_id"], t["source"]) for t in told if t["unmet"] > 0} == {(2, "small")}
     assert tokens(rows, 2, "small") == 1000 and max(r["repeats"] for r in rows if r["source"] == "small" and r["mix_id"] == 2) == 2
     assert tokens(rows, 2, "big") <= 10_000 and len({(r["mix_id"], r["doc_id"]) for r in rows}) == len(rows)
     again = run(spark, docs, [(1, "big", 0.5, 1, 0.2), (1, "small", 0.5, 3, 0.2)])[1]
@@ -47,7 +63,7 @@ def test_shares_and_repeats(spark):
 def test_defined_cases(spark):
     docs = [(1, "a", "en", 0), (2, "a", "en", None), (3, None, "en", 5), (4, "b", None, 7)]
     told, rows = run(spark, docs, [(1, "a", 0.5, 2, 1.0), (1, "b", 0.5, None, 1.0), (2, "b", 1.0, 2, 1.5), (2, "b", 0.5, 1, 1.5), (3, None, 1.0, 1, 1.0), (None, "a", 1.0, 1, 1.0), (4, "b", None, 1, None), (5, "gone", 1.0, 1, 1.0)])
-    assert {(t["mix_id"], t["source"]) for t in told if t["short"]} == {(1, "a"), (1, "b")}
+    assert {(t["mix_id"], t["source"]) for t in told if t["unmet"] > 0} == {(1, "a"), (1, "b")}
     assert {(r["mix_id"], r["doc_id"]): r["repeats"] for r in rows} == {(2, 4): 1} or {(r["mix_id"], r["doc_id"]): r["repeats"] for r in rows} == {(2, 4): 2}
     assert run(spark, [], [])[1] == []
 

@@ -1,16 +1,16 @@
 """Problem 8: mixing sources to target weights.
 
 Method: hierarchical budgeting. Every document is measured in tokens of a public
-tokenizer. The documents of a mix form a tree (domain, source, language); weights come
-from the targets of the sources and, inside a source, from the sizes of its languages.
-The total is filled top-down: a node gets its weight, at most what its leaves may give
-with the allowed repeats, and what it can't give goes to its siblings before it goes to
-other branches. A leaf then yields whole epochs and the token prefix of one more, in an
-order given by a seeded hash.
+tokenizer. The documents of a mix form a tree (domain, language, source); weights come
+from the targets of the sources, divided by the sizes of their languages. The total is
+filled top-down: a node gets its weight, at most what its leaves may give with the allowed
+repeats, and what it can't give goes to its siblings (sources of the language, then
+languages of the domain) before it goes to other domains. A leaf then yields whole epochs
+and the token prefix of one more, in an order given by a seeded hash.
 
 The prefix is found without sorting a leaf in one task: token sums per hash bucket give
-the bucket where the budget ends, and only that bucket is ordered. The tables collected
-have one row per leaf and mix (at most ``MAX_LEAVES``) and per leaf and bucket sum.
+the bucket where the budget ends, and only that bucket is ordered. Nothing is collected;
+the leaves are broadcast if they are at most ``MAX_LEAVES`` and joined otherwise.
 
 Defined results: documents without id, source or text belong to no mix; empty texts have
 size 0 and are never chosen; a null language is a leaf of its own; a source without
@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: The vocabulary file on the driver, unless the session sets ``spark.tidemark.vocabulary``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that tokenizer splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Leaves that are broadcast at most.
 MAX_LEAVES = 200_000
 BUCKETS = 4096
 
@@ -47,10 +49,10 @@ def _encoding(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def token_counts(df: DataFrame, text: str, vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """Add ``n_tokens`` (null for null texts) and drop ``text``. The vocabulary file is read
     on the driver (under 2 MB) and broadcast."""
-    with open(vocabulary, "rb") as f:
+    with open(vocabulary or df.sparkSession.conf.get("spark.tidemark.vocabulary", VOCABULARY), "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())
     others = [c for c in df.columns if c != text]
 
@@ -84,6 +86,10 @@ def _fill(amount: float, weights: list[float], caps: list[float]) -> list[float]
     return got
 
 
+#: The levels of the tree above its leaves, a source each.
+LEVELS = ["domain", "lang"]
+
+
 def budget(leaves: list[dict], levels: list[str], total: float) -> list[float]:
     """Tokens per leaf (``weight``, ``cap`` and its name on every level)."""
     out = [0.0] * len(leaves)
@@ -105,47 +111,46 @@ def budget(leaves: list[dict], levels: list[str], total: float) -> list[float]:
     return out
 
 
-def plan(sized: DataFrame, targets: DataFrame, domains: dict[str, str]) -> tuple[list[dict], list[dict]]:
-    """The budget of every mix: rows per source and rows per leaf. ``sized`` has ``source``,
-    ``lang`` and ``n_tokens`` per document."""
-    sums = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("size")).limit(MAX_LEAVES + 1).collect()
-    wanted = targets.groupBy("mix_id", "source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"), F.max("total_ratio").alias("ratio")).limit(MAX_LEAVES + 1).collect()
-    if max(len(sums), len(wanted)) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves or targets")
-    by_source: dict = defaultdict(list)
-    for r in sums:
-        by_source[r["source"]].append((r["lang"], float(r["size"] or 0)))
-    mixes: dict = defaultdict(list)
-    for r in wanted:
-        if r["mix_id"] is not None and r["source"] is not None:
-            mixes[r["mix_id"]].append(r)
-    told, parts = [], []
-    for mix, rows in sorted(mixes.items()):
-        rows = sorted(rows, key=lambda r: r["source"])
-        size = {r["source"]: sum(s for _, s in by_source[r["source"]]) for r in rows}
-        total = max((r["ratio"] or 0.0) for r in rows) * sum(size.values())
-        leaves = []
+def plan(sized: DataFrame, targets: DataFrame, domains: dict[str, str]) -> DataFrame:
+    """The budget of every mix, a row per leaf: ``mix_id``, ``domain``, ``lang``, ``source``,
+    its ``size``, the tokens ``wanted`` by its weight, ``tokens`` it gets, the source's
+    ``target_share`` and what the leaf stays below its own weight (``unmet``). ``sized`` has
+    ``source``, ``lang`` and ``n_tokens`` per document. A task holds the leaves of one mix."""
+    sums = sized.groupBy("source", "lang").agg(F.sum("n_tokens").cast("double").alias("size")).where("size > 0")
+    wanted = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(
+        F.coalesce(F.max("target_share"), F.lit(0.0)).alias("share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("repeats"), F.coalesce(F.max("total_ratio"), F.lit(0.0)).alias("ratio")
+    )
+    # A source without documents is a leaf that can't give anything.
+    leaves = wanted.join(sums, "source", "left").select("mix_id", "source", "lang", "share", "repeats", "ratio", F.coalesce("size", F.lit(0.0)).alias("size"))
+
+    def fill(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["source"], str(r["lang"])))
+        size: dict = defaultdict(float)
         for r in rows:
-            share, repeats = r["share"] or 0.0, max(0, r["repeats"] or 0)
-            for lang, s in sorted(by_source[r["source"]], key=str):
-                if s > 0:
-                    leaves.append({"mix_id": mix, "domain": domains.get(r["source"], "other"), "source": r["source"], "lang": lang, "size": s, "weight": share * s / size[r["source"]], "cap": repeats * s})
-        for leaf, got in zip(leaves, budget(leaves, ["domain", "source"], total), strict=True):
-            leaf["tokens"] = got
-        parts += leaves
+            size[r["source"]] += r["size"]
+        total = max(r["ratio"] for r in rows) * sum(size.values())
         for r in rows:
-            share, repeats = r["share"] or 0.0, max(0, r["repeats"] or 0)
-            planned = sum((x["tokens"] for x in leaves if x["source"] == r["source"]), 0.0)
-            told.append({"mix_id": mix, "source": r["source"], "target_share": share, "size": size[r["source"]], "wanted": share * total, "available": repeats * size[r["source"]], "planned": planned, "short": share * total > repeats * size[r["source"]]})
-    return told, parts
-
-
-def choose(sized: DataFrame, parts: list[dict], key: str, seed: int = 11) -> DataFrame:
-    """``mix_id``, ``key``, ``source``, ``n_tokens``, ``repeats``: the documents of every mix."""
-    spark = sized.sparkSession
-    schema = "mix_id int, source string, lang string, epochs bigint, rest double"
-    rows = [(p["mix_id"], p["source"], p["lang"], int(p["tokens"] // p["size"]), p["tokens"] - (p["tokens"] // p["size"]) * p["size"]) for p in parts]
-    table = F.broadcast(spark.createDataFrame(rows, schema))  # at most MAX_LEAVES rows
+            part = r["size"] / size[r["source"]] if r["size"] else 1.0
+            r |= {"domain": domains.get(r["source"], "other"), "weight": r["share"] * part, "cap": r["repeats"] * r["size"], "target_share": r["share"], "wanted": r["share"] * part * total}
+        for r, got in zip(rows, budget(rows, LEVELS, total), strict=True):
+            # A leaf gets its own weight first, so it stays below only if it can't give more.
+            r |= {"tokens": got, "unmet": r["wanted"] - got if r["wanted"] - got > 1e-9 * max(1.0, r["wanted"]) else 0.0}
+        return pa.Table.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
+
+    text, number = pa.string(), pa.float64()
+    schema = pa.schema([("mix_id", pa.int32()), ("domain", text), ("lang", text), ("source", text), ("target_share", number), ("size", number), ("wanted", number), ("tokens", number), ("unmet", number)])
+    ddl = "mix_id int, domain string, lang string, source string, target_share double, size double, wanted double, tokens double, unmet double"
+    return leaves.withColumn("mix_id", F.col("mix_id").cast("int")).groupBy("mix_id").applyInArrow(fill, ddl)
+
+
+def choose(sized: DataFrame, parts: DataFrame, key: str, seed: int = 11) -> DataFrame:
+    """``mix_id``, ``key``, ``source``, ``n_tokens``, ``repeats``: the documents of every mix.
+    ``parts`` is the result of ``plan``, written."""
+    epochs = F.floor(F.col("tokens") / F.col("size"))
+    table = parts.where("size > 0").select("mix_id", "source", "lang", epochs.alias("epochs"), (F.col("tokens") - epochs * F.col("size")).alias("rest"))
+    few = table.limit(MAX_LEAVES + 1).count() <= MAX_LEAVES
+    if few:
+        table = F.broadcast(table)
     same = lambda a, b: (a["source"] == b["source"]) & a["lang"].eqNullSafe(b["lang"])
     docs = sized.where("n_tokens > 0").select(key, "source", "lang", "n_tokens")
     placed = docs.join(table, same(docs, table)).select("mix_id", docs[key], docs["source"], docs["lang"], "n_tokens", "epochs", "rest")
@@ -155,7 +160,9 @@ def choose(sized: DataFrame, parts: list[dict], key: str, seed: int = 11) -> Dat
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("s"), F.first("rest").alias("rest"))
     before = F.sum("s").over(W.partitionBy(*leaf).orderBy("bucket")) - F.col("s")
     edges = sums.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("s") > F.col("rest")))
-    edges = F.broadcast(edges.select(*leaf, F.col("bucket").alias("edge"), "before"))  # a row per leaf
+    edges = edges.select(*leaf, F.col("bucket").alias("edge"), "before")
+    if few:  # a row per leaf at most
+        edges = F.broadcast(edges)
     x = placed.alias("x").join(
         edges.alias("e"), F.expr("x.mix_id = e.mix_id and x.source = e.source and x.lang <=> e.lang"), "left"
     ).select("x.*", "edge", "before")

@@ -133,22 +133,23 @@ def _begin(text: str, least: int, start: int, end: int, limit: int, overlap: int
     return aim
 
 
-def split(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
+def split(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, also: str | None = None) -> DataFrame:
     """One row per piece: ``key``, ``piece_id`` (``<key>#c<n>``), ``piece_no``,
-    ``piece_start`` (with overlap), ``core_start``, ``core_end``, ``forced`` (1: the piece
-    lies in an unbroken stretch over the limit) and ``piece_text``."""
+    ``piece_start`` (with overlap), ``core_start``, ``core_end``, ``forced`` (1: the merging
+    left a boundary of the piece inside an unbroken stretch over the limit) and ``piece_text``.
+    ``also`` is a column of whole numbers to keep."""
     unbroken = re.compile(rf"\S{{{limit + 1},}}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, kept = (batch.column(i).to_pylist() for i in range(3))
             rows: list[tuple] = []
             size = 0
-            for i, body in zip(ids, texts, strict=True):
+            for i, body, row in zip(ids, texts, kept, strict=True):
                 stretches = [m.span() for m in unbroken.finditer(body)] if len(body) > limit else []
                 for n, (a, b, e) in enumerate(pieces(body, limit, overlap)):
-                    forced = int(any(x < e and b < y for x, y in stretches))
-                    rows.append((i, f"{i}#c{n}", n, a, b, e, forced, body[a:e] if with_text else None))
+                    forced = int(any(x < cut < y for x, y in stretches for cut in (b, e)))
+                    rows.append((i, f"{i}#c{n}", n, a, b, e, forced, body[a:e] if with_text else None, row))
                     size += e - a
                 if size > 8_000_000:
                     yield table(rows)
@@ -156,13 +157,15 @@ def split(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int =
             yield table(rows)
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.string()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=[n for n, _ in names])
 
-    names = [("key", "string"), ("piece_id", "string"), ("piece_no", "bigint"), ("piece_start", "bigint"), ("core_start", "bigint"), ("core_end", "bigint"), ("forced", "int"), ("piece_text", "string")]
-    source = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text <> ''")
-    return source.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in names))
+    names = [("key", "string"), ("piece_id", "string"), ("piece_no", "bigint"), ("piece_start", "bigint"), ("core_start", "bigint"), ("core_end", "bigint"), ("forced", "int"), ("piece_text", "string"), (also or "also", "bigint")]
+    number = F.col(also).cast("bigint") if also else F.lit(None).cast("bigint")
+    source = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), number.alias("also")).where("key is not null and text <> ''")
+    out = source.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in names))
+    return out if also else out.drop("also")
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:

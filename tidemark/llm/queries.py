@@ -31,9 +31,11 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = table(spark, sf_dir, "rag_document").select("id", "text").where(F.length("text") > pieces.LIMIT)
-    out = pieces.split(long, "id", "text", with_text=False)
-    return out.groupBy(F.col("key").alias("id")).agg(F.max("core_end").alias("n_chars"), F.max("forced").alias("forced"))
+    """The texts that were cut: the sum of their pieces and whether a forced boundary was left."""
+    long = table(spark, sf_dir, "rag_document").select("row_id", "id", "text").where(F.length("text") > pieces.LIMIT)
+    out = pieces.split(long, "id", "text", with_text=False, also="row_id")
+    one = out.groupBy("key", "row_id").agg(F.sum(F.col("core_end") - F.col("core_start")).alias("n_chars"), F.max("forced").alias("forced"))
+    return one.groupBy(F.col("key").alias("id")).agg(F.max("n_chars").alias("n_chars"), F.max("forced").alias("forced"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,24 +82,33 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(mixing.token_counts(docs.select("doc_id", "source", F.lower("lang").alias("lang"), "text"), "text"), "sized")
 
 
+def _budgets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = _sized(spark, sf_dir)
+    return sized, written(mixing.plan(sized, table(spark, sf_dir, "mix_target"), DOMAINS), "budgets")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told, _ = mixing.plan(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"), DOMAINS)
-    return spark.createDataFrame([(t["mix_id"], t["source"]) for t in told if t["short"]], "mix_id int, source string")
+    """The sources with leaves whose budget stays below their weight."""
+    parts = mixing.plan(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"), DOMAINS)
+    return parts.where("unmet > 0").select("mix_id", "source").distinct()
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of every mix with their repeats."""
-    sized = _sized(spark, sf_dir)
-    return mixing.choose(sized, mixing.plan(sized, table(spark, sf_dir, "mix_target"), DOMAINS)[1], "doc_id")
+    return mixing.choose(*_budgets(spark, sf_dir), "doc_id")
+
+
+def p8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every mix: its wanted share and whether it falls short."""
+    parts = _budgets(spark, sf_dir)[1]
+    return parts.groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), (F.sum("unmet") > 0).alias("short"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares wanted and reached."""
-    sized = _sized(spark, sf_dir)
-    told, parts = mixing.plan(sized, table(spark, sf_dir, "mix_target"), DOMAINS)
+    sized, parts = _budgets(spark, sf_dir)
     got = mixing.choose(sized, parts, "doc_id").groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"))
-    schema = "mix_id int, source string, target_share double, planned double, short boolean"
-    rows = spark.createDataFrame([(t["mix_id"], t["source"], t["target_share"], t["planned"], t["short"]) for t in told], schema)
+    rows = parts.groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), (F.sum("unmet") > 0).alias("short"))
     out = rows.join(got, ["mix_id", "source"], "left").na.fill(0, ["tokens", "repeats"])
     whole = out.groupBy("mix_id").agg(F.sum("tokens").alias("whole"))
     share = F.when(F.col("whole") > 0, F.round(F.col("tokens") / F.col("whole"), 6)).otherwise(0.0)
@@ -115,6 +126,6 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_shares, p9_found, p9_forms]
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms]
 QUERIES = {query.__name__: query for query in _ALL}
 

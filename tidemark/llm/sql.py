@@ -24,6 +24,7 @@ ORACLES = {
  m as (select t.*, coalesce(s, 0) s from mix_target t left join size using (source))
  select mix_id, source from (select *, sum(s) over (partition by mix_id) whole from m) where target_share * total_ratio * whole > max_repeats * s""",
 }
+ORACLES["p8_targets"] = f"""with s as ({ORACLES['p8_found']}) select mix_id, source, max(target_share) target_share, (mix_id, source) in (select (mix_id, source) from s) short from mix_target group by mix_id, source"""
 
 
 def _shape_sql(text: str) -> str:

@@ -7,7 +7,7 @@ Method: a byte-position inverted index with count filtering, in three steps.
    Two sets share such a byte with the probability of their Jaccard similarity, which is
    0.64 or more at a cosine of 0.8. A posting of one byte would hold 1/256 of all rows, so
    a posting is a run of ``GROUP_BYTES`` positions. This step is the only one that can lose
-   a pair: with a probability of 0.05 % at a cosine of 0.8 between sets of one size (at most
+   a pair: with a probability of 0.04 % at a cosine of 0.8 between sets of one size (at most
    0.2 % between any), 0.0001 % at 0.85 (see the README for the exact index that was tried).
 2. Count filter. Every set also gets bytes to tally, each the sum of the hashes of the
    words that fall to its position. Sets that differ in d words share all but d of them,
@@ -18,7 +18,7 @@ Method: a byte-position inverted index with count filtering, in three steps.
    taken for one with a probability of 2e-10 per pair of words. Equal sets are recognised by
    64 bits.
 
-Postings travel packed (10 bytes each, one binary value per batch and target), about 600
+Postings travel packed (10 bytes each, one binary value per batch and target), about 560
 bytes a document. Equal word sets are one class: they are posted once per batch, merged by
 class, and expanded only in the final result. Postings are spread by the hash of (block,
 run, bytes); no task ever holds a block, and a posting list of more than ``LIST_PART`` sets
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-GROUPS, GROUP_BYTES = 60, 5
+GROUPS, GROUP_BYTES = 56, 5
 #: Positions of the bytes that are tallied per pair, at least.
 COUNTED = 64
 #: Postings per reduce task; sets of a posting list that meet in one task.
@@ -343,7 +343,8 @@ def similar_classes(df: DataFrame, key: str, block: str, text: str, threshold: f
     # ``target`` is the number of a task already; hashing it again would fill some twice.
     blobs = docs.mapInArrow(post, "target int, blob binary").repartitionById(targets, "target").sortWithinPartitions("target")
     lists = blobs.mapInArrow(tally, "a bigint, b bigint, left binary, right binary").repartition("a", "b", "left", "right")
-    found = lists.mapInArrow(spread, "a bigint, b bigint").distinct()
+    # Placed by ``a`` before repeats are dropped, which serves the next join, too.
+    found = lists.mapInArrow(spread, "a bigint, b bigint").repartition("a").distinct()
     # Placed by ``cls`` once, which serves the merging, the sketches and both joins. The
     # filter is the one that the joins infer; with it all of them share one exchange.
     sets = _members(docs, True).where("cls is not null").repartition("cls").groupBy("cls", "full").agg(F.first("words").alias("words"))

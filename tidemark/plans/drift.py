@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.drift import changes, file_schemas, unify
-from tidemark.session import written
+from tidemark.operators.drift import changes, unify
 from tidemark.sources.tables import table
 
 
@@ -25,10 +24,7 @@ def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every point under one set of columns."""
-    points = _points(spark, sf_dir)
-    found = written(changes(points, "writer", "file_seq", "id", "payload", depth=1), "drift")
-    names = file_schemas(points, ["writer", "file_seq"], "payload", 1)
-    return unify(points, found, names, "payload", "p_").drop("payload")
+    return unify(_points(spark, sf_dir), "writer", "file_seq", "id", "payload", "p_").drop("payload")
 
 
 QUERIES = {"p2_found": p2_found, "p2_changes": p2_changes, "p2_table": p2_table}

@@ -50,6 +50,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near5.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every point."""
+    points = table(spark, sf_dir, "qpoint").select("id", "vector")
+    return vectors.neighbours(points, "id", "vector", 5).withColumn("score", F.round("score", 4))
+
+
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every hundredth point (by the hash of its id), against all points."""
     points = table(spark, sf_dir, "qpoint").select("id", "vector")
@@ -126,6 +132,6 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms]
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_nearest, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms]
 QUERIES = {query.__name__: query for query in _ALL}
 

@@ -1,13 +1,15 @@
 """Problem 5: the most similar vectors of every vector.
 
 Method: balanced posting lists. Centroids are fitted on a bounded sample by a two-level
-k-means whose second level gives every part as many centroids as its share of the
-sample, so lists are about equally long. The centroids form an in-memory graph: pivots
-(first level), linked to their nearest pivots; a search goes to the best pivot and along
-its links, and looks only at centroids there. A vector is replicated to every list whose
-distance is within a ratio of its nearest one, up to a fixed number. Queries prune the
-lists to search by the same distance ratio. Lists that the sample shows to be long are
-divided, and each task compares one part of the members with one part of the queries.
+k-means; one that draws far more of the sample than the others is divided again, so lists
+are about equally long. The centroids form an in-memory graph, each linked to its ``LINKS``
+nearest; a search enters at the best centroid of the best pivot (first level), walks to the
+best linked one until none is better, and looks at the lists linked there. A vector is
+replicated to every list whose distance is within a ratio of its nearest one, up to a fixed
+number. Queries prune the lists to search by the same distance ratio. The number of lists
+grows with the rows (``LIST_SIZE`` each) up to ``MAX_LISTS``; lists that the sample shows to
+be longer than ``MAX_LIST`` are divided, and each task compares one part of the members with
+one part of the queries.
 
 The vectors travel packed as 16-bit integers (a cosine is off by about 1e-5). Equal
 vectors are one class: its smallest ids stand for it as neighbours, and all its ids get
@@ -33,8 +35,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bounds of what is fitted and broadcast: vectors in the sample, lists in the index.
-SAMPLE, MAX_LISTS = 65_536, 8_192
-LIST_SIZE, MAX_LIST = 256, 20_000
+SAMPLE, MAX_LISTS = 524_288, 16_384
+#: Vectors of the sample per list.
+PER_LIST = 32
+LIST_SIZE, MAX_LIST = 1024, 20_000
+#: Links of every centroid in the graph.
+LINKS = 96
 _SCALE = 32767.0
 
 
@@ -75,25 +81,46 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 @dataclass
 class Lists:
-    """The fitted index: pivots, their links, and the centroids by pivot."""
+    """The fitted index: pivots as entries, the centroids by pivot and their graph."""
 
     pivots: np.ndarray
-    links: np.ndarray  # the pivots to look at from each pivot, itself first
     centroids: np.ndarray
     bounds: np.ndarray  # the centroids of pivot p are bounds[p]:bounds[p + 1]
+    links: np.ndarray  # the centroids nearest to each centroid, itself among them
     parts: np.ndarray  # into how many parts each list is divided
 
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        """The centroid where a walk over the graph ends: from the best one of the best
+        pivot to the best linked one, until none is better."""
+        at, score = np.zeros(len(x), np.int64), np.full(len(x), -2.0, np.float32)
+
+        def step(place: np.ndarray, live: np.ndarray, look) -> np.ndarray:
+            moved = [live[:0]]
+            for p, here in _groups(place[live]):
+                near, some = look(p), live[here]
+                found = x[some] @ self.centroids[near].T
+                best = found.argmax(1)
+                value = found[np.arange(len(some)), best]
+                better = value > score[some] + 1e-6
+                at[some[better]], score[some[better]] = near[best[better]], value[better]
+                moved.append(some[better])
+            return np.concatenate(moved)
+
+        live = step((x @ self.pivots.T).argmax(1), np.arange(len(x)), lambda p: np.arange(self.bounds[p], self.bounds[p + 1]))
+        while len(live):
+            live = step(at.copy(), live, lambda c: self.links[c])
+        return at
+
     def nearest(self, x: np.ndarray, most: int, ratio: float) -> list[np.ndarray]:
         """For every vector the lists within ``ratio`` of its nearest list's distance."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(x)
         if not len(x):
             return out
-        best = (x @ self.pivots.T).argmax(1)
-        for p in np.unique(best):
-            here = np.flatnonzero(best == p)
-            lists = np.concatenate([np.arange(self.bounds[q], self.bounds[q + 1]) for q in self.links[p]])
-            for at in range(0, len(here), 4096):
-                some = here[at : at + 4096]
+        at = self.walk(x)
+        for c, here in _groups(at):
+            lists = self.links[c]
+            for start in range(0, len(here), 4096):
+                some = here[start : start + 4096]
                 distance = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[some] @ self.centroids[lists].T)))
                 m = min(most, len(lists))
                 near = np.argpartition(distance, m - 1, axis=1)[:, :m] if m < len(lists) else np.broadcast_to(np.arange(len(lists)), distance.shape)
@@ -104,35 +131,66 @@ class Lists:
         return out
 
 
-def fit(sample: np.ndarray, rows: int, links: int = 12, seed: int = 7) -> Lists:
+def _groups(label: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each label with its places."""
+    order = np.argsort(label, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1], [True]])) if len(label) else np.zeros(1, np.int64)
+    return [(int(label[order[a]]), order[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _balanced(x: np.ndarray, k: int, size: float, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of ``x``: ``k`` at first; one with far more than ``size`` vectors is divided again."""
+    centre, label = _kmeans(x, k, rng)
+    done = []
+    for c, here in _groups(label):
+        more = int(round(len(here) / size))
+        if len(here) > 1.5 * size and more > 1 and len(here) < len(x):
+            done.append(_balanced(x[here], more, size, rng))
+        else:
+            done.append(centre[c : c + 1])
+    return np.concatenate(done)
+
+
+def _nearest_rows(x: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((len(x), k), np.int64)
+    for at in range(0, len(x), 2048):
+        score = x[at : at + 2048] @ x.T
+        out[at : at + 2048] = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(x) else np.arange(len(x))
+    return out
+
+
+def fit(sample: np.ndarray, rows: int, seed: int = 7) -> Lists:
     """Fit the lists for ``rows`` vectors on the sample."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
     lists = int(max(1, min(MAX_LISTS, rows // LIST_SIZE, len(x) // 4)))
     first = int(max(1, round(lists**0.5)))
     pivots, label = _kmeans(x, first, rng)
+    size = len(x) / lists
     parts, bounds = [], [0]
     for p in range(first):
         own = x[label == p]
-        k = max(1, round(lists * len(own) / len(x)))
-        parts.append(_kmeans(own, min(k, len(own)), rng)[0] if len(own) else pivots[p : p + 1])
+        k = max(1, round(len(own) / size))
+        parts.append(_balanced(own, min(k, len(own)), size, rng) if len(own) else pivots[p : p + 1])
         bounds.append(bounds[-1] + len(parts[-1]))
-    order = np.argsort(-(pivots @ pivots.T), axis=1, kind="stable")
-    index = Lists(pivots, order[:, : links + 1], np.concatenate(parts), np.array(bounds), np.ones(bounds[-1], np.int64))
-    load = np.bincount(np.concatenate(index.nearest(x, 1, 1.0)), minlength=bounds[-1]) * (rows / len(x))
+    centroids = np.concatenate(parts)
+    index = Lists(pivots, centroids, np.array(bounds), _nearest_rows(centroids, min(LINKS, len(centroids))), np.ones(bounds[-1], np.int64))
+    load = np.bincount(index.walk(x), minlength=bounds[-1]) * (rows / len(x))
     index.parts = np.clip(np.ceil(load / MAX_LIST), 1, 4095).astype(np.int64)
     return index
 
 
 def _sample(points: DataFrame, rows: int, share: str = "id") -> tuple[np.ndarray, int]:
-    """At most ``SAMPLE`` vectors chosen by the hash of their id, and the usual length."""
-    limit = int(min(1.0, SAMPLE / max(1, rows)) * 1_000_000) + 1
-    some = points.where(F.pmod(F.xxhash64(share), F.lit(1_000_000)) < limit)
+    """Vectors chosen by the hash of their id, ``PER_LIST`` for every list of ``rows`` but some
+    thousands at least and at most ``SAMPLE``, and the usual length."""
+    most = min(SAMPLE, max(65_536, PER_LIST * (rows // LIST_SIZE)))
+    limit = int(min(1.0, most / max(1, rows)) * 1_000_000_000) + 1
+    some = points.where(F.pmod(F.xxhash64(share), F.lit(1_000_000_000)) < limit)
     lengths = some.where("size(vector) > 0").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return np.zeros((0, 0)), 0
     dim = lengths[0]["n"]
-    column = some.where(F.size("vector") == dim).select("vector").limit(SAMPLE + SAMPLE // 8).toArrow()["vector"]
+    column = some.where(F.size("vector") == dim).select("vector").limit(most + most // 8).toArrow()["vector"]
     return usable(column, dim)[1], dim
 
 
@@ -239,8 +297,8 @@ def _classes(points: DataFrame, dim: int) -> DataFrame:
 
 
 def neighbours(
-    df: DataFrame, key: str, vector: str, k: int = 5, min_score: float = -1.0, copies: int = 2, ratio: float = 1.05,
-    queries: DataFrame | None = None, probes: int = 64, probe_ratio: float = 1.6,
+    df: DataFrame, key: str, vector: str, k: int = 5, min_score: float = -1.0, copies: int = 4, ratio: float = 1.25,
+    queries: DataFrame | None = None, probes: int = 24, probe_ratio: float = 1.4,
 ) -> DataFrame:
     """``id``, ``neighbour``, ``score``, ``place``: the ``k`` most similar other points of
     every point (or of the points in ``queries``) with a cosine of at least ``min_score``."""

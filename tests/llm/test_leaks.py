@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from tidemark.llm import leaks as K
 
@@ -77,7 +76,7 @@ def test_a_very_long_document(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(K, "GROUP_CHARS", 60)
     assert [r[:2] for r in found(spark, [(1, ITEM + " and " + ITEM[::-1])], [(1, ITEM), (2, ITEM[::-1])])] == [(1, 1), (1, 2)]
 
 
@@ -87,10 +86,18 @@ def test_removal_spans(spark):
     assert got == {1: ([(0, 10), (20, 25)], 3), 2: ([(3, 4)], 1)}
 
 
-def test_more_items_than_the_bound_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(K, "MAX_WORDS", 6)
-    assert found(spark, [(1, "a")], [(i, "one") for i in range(6)]) == []
-    with pytest.raises(ValueError, match="more than 6"):
-        found(spark, [(1, "a")], [(i, "") for i in range(7)])
-    with pytest.raises(ValueError, match="more than 6"):
-        found(spark, [(1, "a")], [(i, "one two") for i in range(4)])
+def test_markup_of_any_length(spark):
+    words = ITEM.split()
+    dress = lambda between: " ".join(words[:6]) + between + " ".join(words[6:])
+    docs = [
+        (1, dress(f' <a href="{"x" * 300}"> ')), (2, dress(" <!-- a note -->")), (3, dress(f"<!-- {'-- <b> ' * 5000} -->")), (4, dress(" ](http://example.invalid/a(b ")), (5, "[" + dress("](http://example.invalid/long/target) ")),
+        (6, dress("&nbsp;&#160;&#xA0;&CounterClockwiseContourIntegral;")), (7, dress(" <!-- never closed ")), (8, dress(" x < y ")), (9, "<!--" * 50_000 + ITEM),
+    ]
+    assert [r[0] for r in found(spark, docs, [(1, ITEM)])] == [1, 2, 3, 5, 6, 9]
+
+
+def test_more_items_than_one_group_holds(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP_CHARS", 12)
+    docs = [(1, "one two three"), (2, "three four"), (3, "none")]
+    items = [(1, "one two"), (2, "two three"), (3, "three four"), (4, "four five"), (5, ""), (6, None)]
+    assert [r[:2] for r in found(spark, docs, items)] == [(1, 1), (1, 2), (2, 3)]

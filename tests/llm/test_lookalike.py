@@ -1,3 +1,4 @@
+import math
 import unicodedata
 
 import pytest
@@ -9,7 +10,7 @@ from tidemark.llm import lookalike as L
 SAME = [
     ("office", "oﬃce"), ("file", "ﬁle"), ("abc", "ａｂｃ"), ("a b", "a b"), ("a b", "a　b"), ("a  b", "a  b"),
     ("queue", "que​ue"), ("queue", "﻿qu­eue⁠"), ("café", "café"), ("well-known", "well‑known"), ("scope", "ѕсоре"), ("Tokyo", "Τоkyо"),
-    ("время", "вpeмя"), ("ёлка", "ёлка"), ("ガ", "ｶﾞ"), ("Host", "Ηоѕt"), ("ёж", "ëж"), ("go", "ɡօ"),
+    ("время", "вpeмя"), ("ёлка", "ёлка"), ("ガ", "ｶﾞ"), ("Host", "Ηоѕt"), ("ёж", "ëж"), ("go", "ɡօ"), ("Act", "Ꭺct"), ("Oslo", "Ⲟslⲟ"), ("a", "ɑ"), ("a-b", "a−b"),
 ]
 DIFFERENT = [("Abc", "abc"), ("a b", "a  b"), ("cafe", "café"), ("x2", "x²"), ("a1", "al"), ("a-b", "a–b"), ("a b", "a\tb"), ("½", "1/2"), ("①", "1"), ("don't", "don’t")]
 
@@ -35,6 +36,13 @@ def test_tokens_keep_one_script():
     assert forms("👨‍👩 café") == "👨‍👩 café"
 
 
+def test_the_counts_decide_about_the_script():
+    # The last letters can be of either script; what follows in each of them decides.
+    letters = {("cyrillic", "^", "в"): -1.0, ("cyrillic", "в", "о"): -1.0, ("cyrillic", "о", "р"): -1.0, ("latin", "^", "o"): -6.0, ("latin", "o", "p"): -0.1}
+    assert L.Forms({**letters, ("switch", "", ""): -9.0})("вop") == "вор"
+    assert L.Forms({**letters, ("latin", "^", "o"): -0.1, ("cyrillic", "в", "о"): -12.0, ("switch", "", ""): -1.0})("вop") == "вop"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x2FFFF, exclude_categories=["Cs"]), max_size=30))
 def test_forms_are_stable_and_composed(text):
@@ -75,4 +83,5 @@ def test_forms_as_a_column(spark):
 def test_bigrams_count_everything(spark):
     df = spark.createDataFrame([("ab ab",), ("Аб аб",), ("aб",), (None,), ("",)], "text string")
     model = L.bigrams(df, "text")
-    assert set(model) == {("latin", "^", "a"), ("latin", "a", "b"), ("cyrillic", "^", "а"), ("cyrillic", "а", "б")}
+    assert model[("switch", "", "")] == pytest.approx(math.log(2 / 7))
+    assert set(model) - {("switch", "", "")} == {("latin", "^", "a"), ("latin", "a", "b"), ("cyrillic", "^", "а"), ("cyrillic", "а", "б")}

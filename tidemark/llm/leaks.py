@@ -8,9 +8,11 @@ and every eighth suffix position. All phrases (each run of ``window`` words of a
 or the whole item if it is shorter) are searched backwards at once, occurrences are
 located from the sampled positions, and overlapping ones are merged to removal spans.
 
-Items are matched in blocks of bounded size, so the phrases shipped to the executors
-never grow beyond ``BLOCK_WORDS``. Words are runs of letters and digits, compared
-by shape without case; markup is dropped.
+Items are matched in groups by their hash, of about ``GROUP_CHARS`` characters each, so the
+phrases held and shipped at once are bounded however many items there are; every group is
+one pass over the corpus. Words are runs of letters and digits, compared by shape without
+case; tags, comments, character references and the targets of links are dropped, however
+long they are.
 
 Defined results: null or empty texts and items without words leak nothing; repeated
 items and documents are reported each; documents of any length are searched whole.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +30,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.lookalike import caseless
+from tidemark.session import written
 
 WINDOW = 12
 SAMPLE = 8
-#: Most words of items in one block, and most words of all items together.
-BLOCK_WORDS, MAX_WORDS = 200_000, 20_000_000
+#: Characters of items in one group, about.
+GROUP_CHARS = 3_000_000
 _WORD = re.compile(r"[^\W_]+")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,6});")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]+|#[Xx][0-9A-Fa-f]+);|\]\([^()\s]*\)")
+
+
+def _plain(text: str) -> str:
+    """The text without markup, in one scan."""
+    if "<!--" in text:
+        parts, at = [], 0
+        while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+            parts += [text[at:start], " "]
+            at = end + 3
+        text = "".join([*parts, text[at:]])
+    return _MARKUP.sub(" ", text)
 
 
 def words_of(text: str) -> list[str]:
     """The words that count in a comparison."""
-    if "<" in text or "&" in text:
-        text = _MARKUP.sub(" ", text)
+    if "<" in text or "&" in text or "](" in text:
+        text = _plain(text)
     return _WORD.findall(caseless(text))
 
 
@@ -83,7 +98,7 @@ class FMIndex:
             if steps[-1] == n - 1 or width >= 2 * n:
                 break
         bwt = text[order - 1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.levels: list[tuple[int, np.ndarray, int]] = []  # shift, ones before, zeros in all
         row = bwt
         self.bits = max(1, int(text.max()).bit_length())
@@ -166,25 +181,17 @@ def _shard_hits(bodies: list[str], phrases: Phrases) -> list[tuple[int, int, int
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW) -> DataFrame:
     """``key``, ``item_id``, ``word_from``, ``word_to``: the spans (in words of the document)
     that every item has in a document; overlapping and touching spans are merged."""
-    rows = items.select(F.col(item_key).cast("bigint"), F.col(item_text)).where(f"`{item_key}` is not null and `{item_text}` is not null").limit(MAX_WORDS + 1).collect()
-    told = [(r[0], words_of(r[1])) for r in sorted(rows)]
-    if len(rows) > MAX_WORDS or sum(len(w) for _, w in told) > MAX_WORDS:
-        raise ValueError(f"evaluation items of more than {MAX_WORDS} words or rows; split them")
-    blocks: list[list] = [[]]
-    size = 0
-    for item, words in told:
-        if size + len(words) > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, words))
-        size += len(words)
+    told = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    groups = max(1, -(-(told.agg(F.sum(F.length("text"))).first()[0] or 0) // GROUP_CHARS))
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text <> ''")
     kind = source.schema["id"].dataType.simpleString()
-    out = None
-    for block in blocks:
-        part = _block(source, kind, Phrases(block, window))
-        out = part if out is None else out.unionAll(part)
-    return out.withColumnRenamed("id", key)
+    parts = []
+    for g in range(groups):
+        rows = told.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).collect()
+        part = _block(source, kind, Phrases([(r[0], words_of(r[1])) for r in sorted(rows)], window))
+        # One group is enough as a rule; more of them must not be held at once.
+        parts.append(part if groups == 1 else written(part, "leaks"))
+    return reduce(DataFrame.unionAll, parts).withColumnRenamed("id", key)
 
 
 def _block(source: DataFrame, kind: str, phrases: Phrases) -> DataFrame:

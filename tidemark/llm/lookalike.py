@@ -9,8 +9,8 @@
 4. The shape of a token is a lattice: each letter may be the Latin one or its twins in
    the scripts that the text proves by a letter without a Latin twin. Viterbi takes the
    path with the best score under character bigrams of each script, counted over all
-   documents, where changing the script inside a token costs more than any bigram.
-   Without such proof the lattice has one path, the Latin one.
+   documents; changing the script inside a token costs what the counts say of neighbouring
+   letters of two scripts. Without such proof the lattice has one path, the Latin one.
 5. Composition (NFC).
 
 Equal shapes give equal forms by construction, whatever the model says. Defined
@@ -44,7 +44,12 @@ TWINS = {
     "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "V": "Ѵ",
     "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
 }
-HYPHENS = "‐‑‒﹣－⁃"
+# The same for alphabets that have capitals of Latin shape, and for a second form of a.
+MORE_TWINS = {
+    "a": "ɑ", "c": "ⲥ", "o": "ⲟ", "p": "ⲣ", "A": "Ꭺ", "B": "ᏴⲂ", "C": "ᏟⲤ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "ᎻⲎ", "I": "Ⲓ", "J": "Ꭻ",
+    "K": "ᏦⲔ", "L": "Ꮮ", "M": "ᎷⲘ", "N": "Ⲛ", "O": "Ⲟ", "P": "ᏢⲢ", "R": "Ꭱ", "S": "Ꮪ", "T": "ᎢⲦ", "V": "Ꮩ", "W": "Ꮃ", "X": "Ⲭ", "Y": "Ⲩ", "Z": "ᏃⲌ",
+}
+HYPHENS = "‐‑‒﹣－⁃−˗"
 # Letters whose compatibility form has another shape.
 OWN_LOOK = "ſϐϑϒϓϔϕϖϰϱϲϴϵϹẛ"
 #: Kinds of compatibility forms that look like the ordinary character.
@@ -71,7 +76,8 @@ def _normal_table() -> dict[int, str]:
     return table
 
 
-_SCRIPTS = (("cyrillic", 0x0400, 0x052F), ("greek", 0x0370, 0x03FF), ("armenian", 0x0530, 0x058F))
+_SCRIPTS = (("cyrillic", 0x0400, 0x052F), ("greek", 0x0370, 0x03FF), ("armenian", 0x0530, 0x058F), ("coptic", 0x2C80, 0x2CFF), ("cherokee", 0x13A0, 0x13FF))
+_ALL_TWINS = {latin: TWINS.get(latin, "") + MORE_TWINS.get(latin, "") for latin in {**TWINS, **MORE_TWINS}}
 
 
 def script_of(ch: str) -> str:
@@ -81,10 +87,10 @@ def script_of(ch: str) -> str:
 
 
 _NORMAL = _normal_table()
-_SHAPE = {ord(t): latin for latin, twins in TWINS.items() for t in twins}
+_SHAPE = {ord(t): latin for latin, twins in _ALL_TWINS.items() for t in twins}
 #: Shape -> script -> letter (the first twin of the script).
 _CHOICES: dict[str, dict[str, str]] = {}
-for _latin, _twins in TWINS.items():
+for _latin, _twins in _ALL_TWINS.items():
     for _t in _twins:
         _CHOICES.setdefault(_latin, {"latin": _latin}).setdefault(script_of(_t), _t)
 _JOINED = re.compile("(?<=[☀-➿️\U0001f000-\U0001faff])‍(?=[☀-➿\U0001f000-\U0001faff])")
@@ -116,9 +122,10 @@ def _special() -> re.Pattern:
 
 
 _SPECIAL = _special()
+#: The cost of another script inside a word, if none was counted, and behind a link.
 _SWITCH, _SWITCH_AT_LINK = 1000.0, 12.0
 #: Lower-case letters whose capital has a twin: what a comparison without case must join.
-_CASELESS = {ord(t.lower()): latin.lower() for latin, twins in TWINS.items() for t in twins if ord(t.lower()) not in _SHAPE}
+_CASELESS = {ord(t.lower()): latin.lower() for latin, twins in _ALL_TWINS.items() for t in twins if ord(t.lower()) not in _SHAPE}
 
 
 def shape(text: str) -> str:
@@ -140,6 +147,7 @@ class Forms:
 
     def __init__(self, model: dict[tuple[str, str, str], float] | None = None, limit: int = 200_000) -> None:
         self.model = model or {}
+        self.switch = self.model.get(("switch", "", ""), -_SWITCH)
         self.cache: dict[tuple[tuple[str, ...], str], str] = {}
         self.limit = limit
 
@@ -193,7 +201,7 @@ class Forms:
     def _step(self, before: str, script: str, last: str, low: str) -> float:
         if last == "^":
             return self._log(script, "^", low) - (0.0 if before == script else _SWITCH_AT_LINK)
-        return self._log(script, last, low) if before == script else -_SWITCH
+        return self._log(script, last, low) if before == script else self.switch + self._log(script, "^", low)
 
     def _log(self, script: str, a: str, b: str) -> float:
         return self.model.get((script, a, b), -12.0)
@@ -207,8 +215,9 @@ _SCRIPT = np.zeros(0x10000, np.int64)
 _SCRIPT[[ord(c) for c in _LETTERS[1:]]] = [1 + ["latin", "cyrillic", "greek", "armenian"].index(script_of(c)) for c in _LETTERS[1:]]
 
 
-def _count_bigrams(text: str, total: np.ndarray) -> None:
-    """Add the bigrams of all words of one script to ``total``."""
+def _count_bigrams(text: str, total: np.ndarray, mixed: np.ndarray) -> None:
+    """Add the bigrams of all words of one script to ``total``, and how many neighbouring
+    letters are of one script and of two to ``mixed``."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(code < 0x10000, code, 0)
     number, script = _NUMBER[code], _SCRIPT[code]
@@ -222,38 +231,45 @@ def _count_bigrams(text: str, total: np.ndarray) -> None:
     inside = np.zeros(len(code), bool)
     inside[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(pure, size)
     before = np.concatenate([[0], number[:-1]])
+    pair = (number[1:] > 0) & (number[:-1] > 0)
+    other = int((script[1:] != script[:-1])[pair].sum())
+    mixed += np.array([int(pair.sum()) - other, other])
     total += np.bincount(before[inside] * len(_LETTERS) + number[inside], minlength=len(total))
 
 
-def bigrams(df: DataFrame, text: str, most: int = 50_000) -> dict[tuple[str, str, str], float]:
+def bigrams(df: DataFrame, text: str) -> dict[tuple[str, str, str], float]:
     """Log probabilities of letter bigrams per script, counted over all texts in tokens
-    of one script. The result is bounded by the alphabets; rarer bigrams than the
-    ``most`` frequent are left to the default."""
+    of one script, and of a change of script (``switch``). The alphabets bound the result:
+    it has at most the square of ``len(_LETTERS)`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(_LETTERS) ** 2, np.int64)
+        total, mixed = np.zeros(len(_LETTERS) ** 2, np.int64), np.zeros(2, np.int64)
         for batch in batches:
             held: list[str] = []
             size = 0
             for body in [*batch.column(0).to_pylist(), None]:
                 if body is None or size > 2_000_000:
                     if held:
-                        _count_bigrams("\n".join(held), total)
+                        _count_bigrams("\n".join(held), total, mixed)
                     held, size = [], 0
                 if body is not None:
                     held.append(body)
                     size += len(body)
         there = np.flatnonzero(total)
         first, second = there // len(_LETTERS), there % len(_LETTERS)
-        columns = [[script_of(_LETTERS[i]) for i in second], [_LETTERS[i] for i in first], [_LETTERS[i] for i in second]]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.string()) for c in columns), pa.array(total[there])], names=["script", "a", "b", "n"])
+        columns = [[script_of(_LETTERS[i]) for i in second] + ["switch"] * 2, [_LETTERS[i] for i in first] + ["same", "other"], [_LETTERS[i] for i in second] + [""] * 2]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.string()) for c in columns), pa.array(np.concatenate([total[there], mixed]))], names=["script", "a", "b", "n"])
 
     counted = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, "script string, a string, b string, n bigint")
-    rows = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "script", "a", "b").limit(most).collect()
+    rows = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
+    mixed = {r["a"]: r["n"] for r in rows if r["script"] == "switch"}
+    rows = [r for r in rows if r["script"] != "switch"]
     totals: Counter = Counter()
     for r in rows:
         totals[r["script"], r["a"]] += r["n"]
-    return {(r["script"], r["a"], r["b"]): math.log(r["n"] / totals[r["script"], r["a"]]) for r in rows}
+    model = {(r["script"], r["a"], r["b"]): math.log(r["n"] / totals[r["script"], r["a"]]) for r in rows}
+    same, other = mixed.get("same", 0), mixed.get("other", 0)
+    return model | {("switch", "", ""): math.log((other + 1) / (same + other + 2))}
 
 
 def consistent(df: DataFrame, text: str, out: str = "form", model: dict | None = None) -> DataFrame:

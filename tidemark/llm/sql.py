@@ -45,7 +45,8 @@ def _shape_sql(text: str) -> str:
 
 
 def _words_sql(text: str) -> str:
-    plain = f"regexp_replace({text}, '</?[A-Za-z][^<>]{{0,200}}>|&(?:[A-Za-z]{{2,8}}|#[0-9]{{1,6}});', ' ', 'g')"
+    plain = f"regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g')"
+    plain = f"regexp_replace({plain}, '</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]{{1,31}}|#[0-9]+|#[Xx][0-9A-Fa-f]+);|\\]\\([^()\\s]*\\)', ' ', 'g')"
     capitals = {chr(c): x for c, x in lookalike._CASELESS.items()}
     folded = f"translate(lower({_shape_sql(plain)}), '{''.join(capitals)}', '{''.join(capitals.values())}')"
     return f"regexp_extract_all({folded}, '[\\p{{L}}\\p{{N}}]+')"

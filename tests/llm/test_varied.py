@@ -78,8 +78,32 @@ def test_a_large_request_is_chosen_like_a_small_one(spark, monkeypatch):
         j = rng.randint(0, 60)
         text = rng.choice([f"x{j} y{j} x{j + 1} y{j + 1}", f"u{i} v{i}", None])
         rows.append((2, f"h{i:03}", rng.choice([None, None, None, f"p{i % 40}"]), rng.choice([None, rng.random(), rng.random(), rng.random()]), f"k{rng.randint(0, 3)}", text))
-    takes = [(1, 10), (2, 12)]
+    takes = [(1, 10), (2, 12), (3, 500)]
+    rows += [(3, i, p, s, k, t) for r, i, p, s, k, t in rows if r == 2]
     exact = choose(spark, rows, takes)
     assert sum(i.startswith("s") for i in exact[1]) == 3
     monkeypatch.setattr(R, "BLOCK", 50)
     assert choose(spark, rows, takes) == exact
+
+
+def test_stories_of_many_words():
+    rng = random.Random(2)
+    texts = [" ".join(rng.sample([f"w{j}" for j in range(9000)], 5) + [f"s{i % 7}a", f"s{i % 7}b"] * 1) for i in range(40)] + [f"s{i % 7}a s{i % 7}b s{i % 7}c" for i in range(21)]
+    head = R.stories(texts, [None] * len(texts))
+    sets = [set(t.split()) for t in texts]
+    for i in range(40, 61):
+        assert head[i] == min(j for j in range(40, 61) if (j - 40) % 7 == (i - 40) % 7)
+    assert all(head[i] == i for i in range(40) if not any(4 * len(sets[i] & s) ** 2 >= len(sets[i]) * len(s) for j, s in enumerate(sets) if j != i))
+    whole = R.WORDS
+    try:
+        R.WORDS = 3
+        assert R.stories(texts, [None] * len(texts)) == head
+    finally:
+        R.WORDS = whole
+
+
+def test_quality(spark):
+    rows = [(1, f"b{i}", None, 0.9 - i / 100, "logs", "one story told again and again") for i in range(8)] + [(1, f"r{i}", None, 0.5, "git", f"u{i} v{i}") for i in range(4)]
+    got = R.quality(frame(spark, rows), spark.createDataFrame([(1, 4)], "request_id bigint, take int")).collect()
+    assert len(got) == 1
+    assert (got[0]["n_chosen"], got[0]["top_n_stories"], got[0]["top_n_kinds"], got[0]["top_mean_score"]) == (4, 1, 1, 0.885) and got[0]["n_stories"] > 1 and got[0]["n_kinds"] == 2

@@ -69,6 +69,12 @@ def p6_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied.select(hits, requests)
 
 
+def p6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories, kinds and mean scores of every choice beside those of the best-scored hits."""
+    hits, requests = table(spark, sf_dir, "hit"), table(spark, sf_dir, "ask_request").select("request_id", "take")
+    return varied.quality(hits, requests)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item")
     return leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
@@ -132,6 +138,6 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_nearest, p5_neighbours, p6_varied, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms]
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_nearest, p5_neighbours, p6_varied, p6_quality, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms]
 QUERIES = {query.__name__: query for query in _ALL}
 

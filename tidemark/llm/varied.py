@@ -14,7 +14,8 @@ are joined to components. Then hits that no cheapest flow needs are left out: of
 story only the best ``take`` can be used, and of a kind only the ``take`` stories with the
 best first hits matter (the units of another story could go to first hits of those that are
 unused, for no less score and no more cost). Thus no task holds an unbounded request, and
-the choice costs the same as the one from all hits.
+the choice costs the same as the one from all hits. Smaller requests are thinned by the same
+rule, so the choice doesn't depend on ``BLOCK``.
 
 Defined results: repeated rows of an id count once (best score); null and NaN scores
 rank last and earn nothing; null or blank kinds are one kind; null texts are stories of
@@ -25,6 +26,7 @@ and below 1 means none; requests unknown to the request table get none.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,11 @@ from pyspark.sql import functions as F
 from tidemark.session import written
 
 STORY = 0.5
-BLOCK = 2000
+#: Hits that meet in one task, and words of them that are compared at once.
+BLOCK, WORDS = 2000, 4096
 DEFAULT_TAKE = 16
+#: More than any request has: all of its hits with their stories.
+EVERYTHING = 2_000_000_000
 #: Costs in units of score: further uses of a story (2nd, 3rd, ...), use of a kind beyond
 #: its balanced target (growing by this per unit), and the reward for a kind's first hit.
 REUSE_FIRST, REUSE_STEP = 0.35, 0.25
@@ -60,22 +65,26 @@ def stories(texts: list[str | None], parents: list[str | None]) -> list[int]:
         head[max(i, j)] = min(i, j)
 
     sets = [set((t or "").lower().split()) for t in texts]
-    numbers: dict[str, int] = {}
-    for s in sets:
-        for w in s:
-            numbers.setdefault(w, len(numbers))
-    if numbers:
-        # Shared words by blocks of the product of the hit-word matrix with itself.
-        m = np.zeros((n, len(numbers)), np.float32)
-        for i, s in enumerate(sets):
-            m[i, [numbers[w] for w in s]] = 1.0
-        size = m.sum(1).astype(np.float64)
-        for at in range(0, n, 512):
-            # Squares, as counts of words are exact: the result can't depend on rounding.
-            shared = (m[at : at + 512] @ m.T).astype(np.float64)
-            for i, j in zip(*np.nonzero((shared > 0) & (shared * shared >= STORY * STORY * size[at : at + 512, None] * size[None, :])), strict=True):
-                if at + i < j:
-                    link(int(at + i), int(j))
+    held = Counter(w for s in sets for w in s)
+    # Words of one hit only are shared by none.
+    numbers = {w: k for k, w in enumerate(w for w, m in held.items() if m > 1)}
+    size = np.array([len(s) for s in sets], np.float64)
+    rows = np.array([i for i, s in enumerate(sets) for w in s if w in numbers], np.int64)
+    cols = np.array([numbers[w] for s in sets for w in s if w in numbers], np.int64)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    shared = np.zeros((n, n), np.float32) if len(cols) else None
+    for at in range(0, len(numbers), WORDS):
+        # The product of the hit-word matrix with itself, some words at a time.
+        lo, hi = np.searchsorted(cols, [at, at + WORDS])
+        m = np.zeros((n, min(WORDS, len(numbers) - at)), np.float32)
+        m[rows[lo:hi], cols[lo:hi] - at] = 1.0
+        shared += m @ m.T
+    if shared is not None:
+        # Squares, as counts of words are exact: the result can't depend on rounding.
+        alike = (shared > 0) & (shared.astype(np.float64) ** 2 >= STORY * STORY * size[:, None] * size[None, :])
+        for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+            link(int(i), int(j))
     first: dict[str, int] = {}
     for i, p in enumerate(parents):
         if p is not None:
@@ -148,12 +157,27 @@ def pick(hits: list[dict], take: int) -> list[dict]:
     """The chosen hits of one request with their stories, best first."""
     if take < 1 or not hits:
         return []
-    combos = _ranked(hits)
+    if len(hits) <= take:
+        return sorted(hits, key=_rank)
+    combos = _thinned(_ranked(hits), take)
     got = quotas({c: [_worth(h["score"]) for h in rows] for c, rows in combos.items()}, take)
     out = [h for c, rows in combos.items() for h in rows[: got[c]]]
     return sorted(out, key=_rank)
 
 
+def _thinned(combos: dict[tuple[str, str], list[dict]], take: int) -> dict[tuple[str, str], list[dict]]:
+    """What a cheapest flow can need, by the same rule for a request of any size: the best
+    ``take`` hits of a combination, and of a kind the ``take`` combinations with the best
+    first hits, with those that hold a hit worth more than the last of these."""
+    combos = {c: rows[:take] for c, rows in combos.items()}
+    out = {}
+    for kind in {k for k, _ in combos}:
+        own = sorted((c for c in combos if c[0] == kind), key=lambda c: (-_worth(combos[c][0]["score"]), c[1]))
+        least = _worth(combos[own[take - 1]][0]["score"]) if len(own) >= take else -math.inf
+        out |= {c: combos[c] for r, c in enumerate(own) if r < take or max(_worth(h["score"]) for h in combos[c]) > least}
+    return out
+
+
 def select(hits: DataFrame, requests: DataFrame) -> DataFrame:
     """``request_id``, ``id``, ``kind``, ``score``, ``story``, ``place``: the choice for every
     request. ``hits`` as delivered, ``requests`` with ``request_id`` and ``take``."""
@@ -169,15 +193,37 @@ def select(hits: DataFrame, requests: DataFrame) -> DataFrame:
     ).select("request_id", F.struct("id", "h.parent", "h.score", "h.kind", "h.text").alias("hit"))
     sizes = clean.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     hit = F.struct("hit.id", "hit.parent", "hit.score", "hit.kind", "hit.text", F.lit(None).cast("string").alias("story"))
+    names = ["request_id", "id", "kind", "score", "story", "place"]
+    all_of = None
     if sizes.isEmpty():
         whole = clean.select("request_id", hit.alias("hit"))
     else:
         sizes = written(sizes, "hits")
         large = written(clean.join(sizes, "request_id").join(take.where("take > 0"), "request_id"), "hits")
-        whole = clean.join(sizes, "request_id", "left_anti").select("request_id", hit.alias("hit")).unionAll(_needed(large))
+        told = large.select("request_id", "n", "take", "hit.id", "hit.kind", "hit.score").join(_labels(large), ["request_id", "id"], "left").withColumn("story", F.coalesce("story", "id"))
+        whole = clean.join(sizes, "request_id", "left_anti").select("request_id", hit.alias("hit")).unionAll(_needed(told.where("n > take")))
+        # Nothing is to be chosen where all are taken; no task needs the whole request.
+        place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc_nulls_last("score"), "id"))
+        all_of = told.where("n <= take").withColumn("place", place).select(*names)
     whole = whole.groupBy("request_id").agg(F.collect_list("hit").alias("hits")).join(take, "request_id")
     ddl = f"request_id {clean.schema['request_id'].dataType.simpleString()}, id string, kind string, score float, story string, place int"
-    return whole.select("request_id", "take", "hits").mapInArrow(_picked, ddl)
+    out = whole.select("request_id", "take", "hits").mapInArrow(_picked, ddl)
+    return out if all_of is None else out.unionAll(all_of)
+
+
+def quality(hits: DataFrame, requests: DataFrame) -> DataFrame:
+    """What the choice costs and gains per request: ``n_chosen``; ``n_stories`` and ``n_kinds``
+    in it and in the same number of best-scored hits (``top_...``), and both mean scores."""
+    chosen = select(hits, requests)
+    everything = requests.where("request_id is not null").groupBy("request_id").agg(F.lit(EVERYTHING).alias("take"))
+    told = select(hits, everything).select("request_id", "id", "kind", "story", "score")
+    size = chosen.groupBy("request_id").agg(F.count("*").alias("n"))
+    order = W.partitionBy("request_id").orderBy(F.desc_nulls_last("score"), "id")
+    top = told.join(size, "request_id").withColumn("r", F.row_number().over(order)).where("r <= n")
+    sums = lambda df, p: df.groupBy("request_id").agg(
+        F.count("*").alias(f"{p}n_chosen"), F.countDistinct("story").alias(f"{p}n_stories"), F.countDistinct("kind").alias(f"{p}n_kinds"), F.round(F.avg("score"), 6).alias(f"{p}mean_score")
+    )
+    return sums(chosen, "").join(sums(top, "top_").drop("top_n_chosen"), "request_id")
 
 
 def _labels(large: DataFrame, rounds: int = 500) -> DataFrame:
@@ -203,9 +249,8 @@ def _labels(large: DataFrame, rounds: int = 500) -> DataFrame:
     raise RuntimeError(f"stories not settled after {rounds} rounds")
 
 
-def _needed(large: DataFrame) -> DataFrame:
+def _needed(hits: DataFrame) -> DataFrame:
     """``request_id`` and ``hit`` with its story: those that a cheapest flow can need."""
-    hits = large.select("request_id", "take", "hit.id", "hit.kind", "hit.score").join(_labels(large), ["request_id", "id"], "left").withColumn("story", F.coalesce("story", "id"))
     combo = W.partitionBy("request_id", "kind", "story")
     hits = hits.withColumn("place", F.row_number().over(combo.orderBy(F.desc_nulls_last("score"), "id"))).where("place <= take")
     worth = F.coalesce("score", F.lit(0.0).cast("float"))

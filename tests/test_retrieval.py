@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,12 +170,20 @@ def test_latest_is_idempotent(spark):
 
 
 def test_versioned_store(spark, tmp_path):
-    s = store.VersionedStore(spark, str(tmp_path / "s"))
+    s = store.VersionedStore(spark, str(tmp_path / "s"), by="id", buckets=8)
     assert s.read() is None
-    s.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"), "id", "v")
-    s.upsert(spark.createDataFrame([("a", 2)], "id string, v int"), "id", "v")
-    assert sorted(map(tuple, s.read().collect())) == [("a", 2), ("b", 1)]
-    assert len(s.versions()) == 2
+    s.upsert(spark.createDataFrame([(f"k{i}", 1) for i in range(40)], "id string, v int"), "id", "v")
+    before = json.loads((tmp_path / "s" / "manifests" / s.versions()[0]).read_text())["data"]
+    s.upsert(spark.createDataFrame([("k1", 2), ("k2", 0)], "id string, v int"), "id", "v")
+    assert sorted(map(tuple, s.read().collect())) == sorted([(f"k{i}", 1) for i in range(40) if i != 1] + [("k1", 2)])
+    after = json.loads((tmp_path / "s" / "manifests" / s.versions()[1]).read_text())["data"]
+    assert len(s.versions()) == 2 and 1 <= sum(after[b] != before[b] for b in before) <= 2
+    # Of two writers with the same number one fails.
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.put(spark, str(tmp_path / "s" / "manifests" / s.versions()[1]), "{}", over=False)
+    store.put(spark, str(tmp_path / "x"), "1", over=True)
+    store.put(spark, str(tmp_path / "x"), "2", over=True)
+    assert (tmp_path / "x").read_text() == "2"
 
 
 def test_batches(spark):
@@ -183,6 +192,16 @@ def test_batches(spark):
     assert sum(sizes) == 1000 and max(sizes) == 64
 
 
+def test_batches_are_sent(spark, tmp_path):
+    def send(rows):
+        (tmp_path / f"{rows[0]['id']}-{len(rows)}").write_text(json.dumps(rows))
+
+    df = spark.range(0, 150, 1, 1).select("id", F.lit("x").alias("text"))
+    assert sorted(r["n"] for r in store.batches(df, 64, send).collect()) == [22, 64, 64]
+    told = [r for p in tmp_path.iterdir() for r in json.loads(p.read_text())]
+    assert sorted(r["id"] for r in told) == list(range(150)) and told[0]["text"] == "x"
+
+
 def test_window(spark):
     for cursor, start in [(" 2025-01-01T00:00:00Z\n", 1735689600), ("bad", NOW - 5400), (None, NOW - 5400)]:
         w = value(spark, store.window(F.col("c"), F.lit(NOW)), c=cursor)
@@ -240,17 +259,24 @@ def test_ask_end_to_end(spark):
 
 
 def test_stream_merges_and_replaces_stale_chunks(spark, tmp_path):
-    from tidemark.streaming.index import index_available
+    from tidemark.streaming.index import chunks, index_available
 
     schema = "row_id bigint, id string, title string, text string, source_uri string, kind string, timestamp string, service string, environment string, metadata string"
     land = lambda rows: spark.createDataFrame([(n, i, "t", x, "u", "logs", None, "s", "e", "{}") for n, i, x in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     settings = Settings(chunk_chars=5, chunk_overlap=0)
-    run = lambda: sorted((r["id"], r["version"]) for r in index_available(spark, str(tmp_path / "in"), str(tmp_path / "out"), spark.read.parquet(str(tmp_path / "in")).schema, settings).read().collect())
+    run = lambda: sorted((r["id"], r["version"]) for r in chunks(index_available(spark, str(tmp_path / "in"), str(tmp_path / "out"), spark.read.parquet(str(tmp_path / "in")).schema, settings)).collect())
     land([(1, "a", "0123456789"), (2, "b", "xyz"), (3, "e", "")])
     assert run() == [("a#c0", 1), ("a#c1", 1), ("b#c0", 2)]
     assert run() == [("a#c0", 1), ("a#c1", 1), ("b#c0", 2)]
     land([(4, "a", "0123"), (5, "a", "01")])
     assert run() == [("a#c0", 5), ("b#c0", 2)]
+    # Late and old, emptied, and late after it was emptied.
+    land([(3, "a", "late and old"), (9, "b", None)])
+    assert run() == [("a#c0", 5)]
+    land([(8, "b", "older than the emptied one")])
+    assert run() == [("a#c0", 5)]
+    land([(10, "b", "new")])
+    assert run() == [("a#c0", 5), ("b#c0", 10)]
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):
@@ -259,3 +285,21 @@ def test_shared_folder_is_the_one_of_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     df = written(spark.range(5), "x")
     assert df.count() == 5 and df.inputFiles()[0].startswith(shared_dir(spark).replace("file:///", "file:///"))
+
+
+def test_written_tables_can_be_removed(spark):
+    from tidemark.session import removed, written
+
+    df = written(spark.range(5), "gone")
+    path = df._tidemark_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    removed(df)
+    assert not os.path.exists(path)
+
+
+def test_a_provider_embeds_the_points(spark):
+    from tidemark.streaming.index import points
+
+    df = spark.createDataFrame([(1, "a", "t", "0123456789", "u", "logs", None, "s", "e", "{}")], "row_id bigint, id string, title string, text string, source_uri string, kind string, timestamp string, service string, environment string, metadata string")
+    got = points(df, Settings(chunk_chars=6, chunk_overlap=0), "row_id", lambda texts: [[float(len(t))] for t in texts]).collect()
+    assert sorted((r["id"], r["vector"]) for r in got) == [("a#c0", [6.0]), ("a#c1", [4.0])]

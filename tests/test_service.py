@@ -82,6 +82,8 @@ def test_source_and_incremental_load(spark, web, tmp_path):
     assert ids() == ["dashboard_d#c0", "incident_i#c0", "log_l#c0", "metric_a_b#c0", "monitor_1#c0", "slo_s#c0"]
     assert load(spark, root, fetch, 1_735_690_200) == ("2025-01-01T00:00:00Z", "2025-01-01T00:10:00Z")
     assert len(ids()) == 6
+    # Each load asks for every kind once.
+    assert len(asked) == 12
     log = next(a for a in reversed(asked) if "logs" in a[0])
     assert log[1]["filter"]["from"] == "2025-01-01T00:00:00Z" and log[1]["page"] == {"limit": 100} and log[2]["X-Api-Key"] == "k"
 

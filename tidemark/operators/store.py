@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,54 +37,109 @@ def without_stale_chunks(store: DataFrame, fresh: DataFrame, parent: str = "chun
     return store.join(again, parent, "left_anti").unionByName(fresh)
 
 
-def batches(df: DataFrame, size: int = 64) -> DataFrame:
-    """``batch_id``, ``n``: the rows of every partition in batches of ``size``, as an upsert
-    service would receive them."""
+def batches(df: DataFrame, size: int = 64, send: Callable[[list[dict]], None] | None = None) -> DataFrame:
+    """``batch_id``, ``n``: the rows of every partition in batches of ``size``. ``send`` is
+    called with the rows of every batch, as an upsert service receives them; a batch that
+    can't be sent fails its task, which sends it again."""
+    names = df.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = 0
+        held: list[dict] = []
         for part in parts:
-            open_ += part.num_rows
-            full, open_ = divmod(open_, size)
+            if send is None:
+                held += [{}] * part.num_rows
+            else:
+                held += [dict(zip(names, row.values(), strict=True)) for row in part.to_pylist()]
+            full = len(held) // size
+            for n in range(full if send else 0):
+                send(held[n * size : (n + 1) * size])
+            held = held[full * size :]
             yield pa.RecordBatch.from_arrays([pa.array([size] * full, type=pa.int64())], names=["n"])
-        if open_:
-            yield pa.RecordBatch.from_arrays([pa.array([open_], type=pa.int64())], names=["n"])
+        if held:
+            if send is not None:
+                send(held)
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)], type=pa.int64())], names=["n"])
 
-    return df.select(F.lit(1).alias("one")).mapInArrow(run, "n bigint").withColumn("batch_id", F.monotonically_increasing_id())
+    source = df if send is not None else df.select(F.lit(1).alias("one"))
+    return source.mapInArrow(run, "n bigint").withColumn("batch_id", F.monotonically_increasing_id())
 
 
 class VersionedStore:
-    """A parquet store that is replaced by new versions: readers follow a pointer and are
-    never overwritten. The pointer is written last, so a failed merge leaves no trace."""
+    """A parquet store in buckets by the hash of the column ``by``. A new version replaces
+    only the buckets that a merge touches; the others stay where they are. Readers follow a
+    manifest and are never overwritten. The manifest comes last, by a rename that fails if
+    another writer took its number, so a failed merge leaves no trace. The number of
+    ``buckets`` is fixed by the first version; a bucket is what a merge rewrites at least."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, root: str, by: str = "chunk_of", buckets: int = 32) -> None:
+        self.spark, self.root, self.by, self.buckets = spark, root.rstrip("/"), by, buckets
 
     def versions(self) -> list[str]:
-        jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        path, fs = _file_system(self.spark, f"{self.root}/manifests")
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(path)) if n[:1].isdigit()) if fs.exists(path) else []
 
-    def read(self) -> DataFrame | None:
-        names = self.versions()
-        return self.spark.read.parquet(f"{self.root}/data/{names[-1].split('.', 1)[1]}") if names else None
+    def _manifest(self, names: list[str]) -> dict:
+        if not names:
+            return {"buckets": self.buckets, "data": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{names[-1]}", wholetext=True).first()[0])
+
+    def read(self, only: DataFrame | None = None) -> DataFrame | None:
+        """The rows now, or those of the buckets that the rows ``only`` fall to."""
+        manifest = self._manifest(self.versions())
+        wanted = manifest["data"] if only is None else {b: d for b, d in manifest["data"].items() if int(b) in self._touched(only, manifest)}
+        paths = [f"{self.root}/data/{d}/bucket={b}" for b, d in sorted(wanted.items())]
+        return self.spark.read.schema(manifest["schema"]).parquet(*paths) if paths else None
 
-    def replace(self, df: DataFrame) -> None:
+    def _touched(self, rows: DataFrame, manifest: dict) -> set[int]:
+        return {r[0] for r in rows.select(self._bucket(manifest)).distinct().collect()}  # a number per bucket
+
+    def _bucket(self, manifest: dict) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.by)), F.lit(manifest["buckets"])).cast("int").alias("bucket")
+
+    def replace(self, df: DataFrame, only: DataFrame | None = None) -> None:
+        """``df`` becomes the store, or the content of the buckets that ``only`` falls to."""
+        names = self.versions()
+        manifest = self._manifest(names)
         name = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/data/{name}")
-        jvm, fs = self._fs()
-        number = len(self.versions())
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers/{number:09d}.{name}"), False).close()
+        gone = set(manifest["data"]) if only is None else {str(b) for b in self._touched(only, manifest)}
+        # Rebalanced at run time: a large bucket is divided, small ones share a task.
+        df.withColumn("bucket", self._bucket(manifest)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{name}")
+        path, fs = _file_system(self.spark, f"{self.root}/data/{name}")
+        new = {s.getPath().getName().partition("=")[2]: name for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")}
+        data = {b: d for b, d in manifest["data"].items() if b not in gone} | new
+        text = json.dumps({"buckets": manifest["buckets"], "schema": _ddl(df), "data": data})
+        number = int(names[-1]) + 1 if names else 0
+        put(self.spark, f"{self.root}/manifests/{number:09d}", text, over=False)
 
     def upsert(self, fresh: DataFrame, key: str, *order: str) -> None:
         """Merge by ``key``; the later row by ``order`` stays. Merging again changes nothing."""
-        old = self.read()
-        self.replace(latest(fresh if old is None else old.unionByName(fresh), key, *order))
+        old = self.read(fresh)
+        self.replace(latest(fresh if old is None else old.unionByName(fresh), key, *order), fresh)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put(spark: SparkSession, path: str, text: str, over: bool) -> None:
+    """A small file under its name at once or not at all: written beside it and renamed.
+    Without ``over`` an existing file is an error."""
+    at, fs = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    way = spark.sparkContext._gateway.new_array(rename, 1)
+    way[0] = rename.valueOf("OVERWRITE" if over else "NONE")
+    full = lambda p: fs.makeQualified(p)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(full(at).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(full(beside), full(at), way)
 
 
 def window(cursor: Column, now: Column, lookback_minutes: int = 90) -> Column:

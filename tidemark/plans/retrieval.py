@@ -565,15 +565,18 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with d as (select *, row_number() over (partition by id order by row_id desc) r from rag_document where id is not null) select id || '#c' || unnest(range(0, 1 + ceil(greatest(length(text) - 1800, 0) / 1600.0)::bigint)) id, id chunk_of, row_id version from d where r = 1 and length(text) > 0"
+    "with a as (select id, row_id v, text from rag_document union all select id, row_id + 1000000000, '' from rag_document where row_id % 10 = 0), d as (select *, row_number() over (partition by id order by v desc) r from a where id is not null) "
+    "select id || '#c' || unnest(range(0, 1 + ceil(greatest(length(text) - 1800, 0) / 1600.0)::bigint)) id, id chunk_of, v::bigint version from d where r = 1 and length(text) > 0"
 )
 def streaming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All landed documents through the stream into an empty store."""
-    from tidemark.streaming.index import index_available
+    """All documents through the stream into an empty store, in three batches: the odd rows,
+    the even rows (many of them older than what is stored), and some documents emptied."""
+    from tidemark.streaming.index import chunks, index_available
 
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    source = table(spark, sf_dir, "rag_document").withColumnRenamed("sourceUri", "source_uri")
-    landed = f"{root}/landed"
-    source.write.parquet(landed)
-    done = index_available(spark, landed, root, source.schema)
-    return done.read().select("id", "chunk_of", "version")
+    source = table(spark, sf_dir, "rag_document").withColumnRenamed("sourceUri", "source_uri").withColumn("version", F.col("row_id"))
+    emptied = source.where("row_id % 10 = 0").withColumns({"text": F.lit(""), "version": F.col("row_id") + 1_000_000_000})
+    for landing in (source.where("row_id % 2 = 1"), source.where("row_id % 2 = 0"), emptied):
+        landing.write.mode("append").parquet(f"{root}/landed")
+        store = index_available(spark, f"{root}/landed", root, source.schema, version="version")
+    return chunks(store).select("id", "chunk_of", "version")

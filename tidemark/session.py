@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,18 +36,48 @@ def get_session(app: str = "tidemark", cpus: int | str = "*", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one
-    only where the setting is absent, as in local tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local session, whose
+    executors are on one machine, may do without; it gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back, so
-    that a lost executor never forces the work before it to be repeated."""
+    that a lost executor never forces the work before it to be repeated. The files are
+    removed by ``removed`` or when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_all, spark)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Remove what ``written`` wrote; nothing may read it any more."""
+    _remove(df.sparkSession, df._tidemark_path)
+    _WRITTEN.remove(df._tidemark_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    try:
+        for path in _WRITTEN:
+            _remove(spark, path)
+    except Exception:  # the session has ended; the folder's owner cleans up
+        pass

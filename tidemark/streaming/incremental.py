@@ -6,7 +6,6 @@ the same documents again changes nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -14,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
-from tidemark.operators.store import VersionedStore, window, without_stale_chunks
+from tidemark.operators.store import VersionedStore, put, window
+from tidemark.session import removed, written
 from tidemark.sources import observability as obs
-from tidemark.streaming.index import points
+from tidemark.streaming.index import Provider, merge
 
 
 class Cursor:
-    """An instant in a small file, replaced by a rename."""
+    """An instant in a small file, replaced by one rename."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -33,13 +33,7 @@ class Cursor:
         return self.spark.read.text(self.path, wholetext=True).first()[0].strip()
 
     def write(self, instant: str) -> None:
-        new = self._Path(f"{self.path}.{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(instant.encode()))
-        out.close()
-        self._fs.delete(self._Path(self.path), False)
-        if not self._fs.rename(new, self._Path(self.path)):
-            raise OSError(f"the cursor could not be moved to {self.path}")
+        put(self.spark, self.path, instant, over=True)
 
 
 def iso(seconds: int) -> str:
@@ -54,16 +48,16 @@ def documents(raw: DataFrame, until: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, root: str, fetch: Callable[[str, str], DataFrame], now: int, settings: Settings | None = None) -> tuple[str, str]:
+def load(spark: SparkSession, root: str, fetch: Callable[[str, str], DataFrame], now: int, settings: Settings | None = None, provider: Provider | None = None) -> tuple[str, str]:
     """Fetch the window from the cursor to ``now`` with ``fetch(from, to)``, merge its documents
     into the store at ``root`` and move the cursor. Returns the window."""
     settings = settings or Settings()
     cursor, store = Cursor(spark, f"{root}/cursor"), VersionedStore(spark, f"{root}/points")
     span = spark.range(1).select(window(F.lit(cursor.read()).cast("string"), F.lit(now).cast("long"), settings.lookback_minutes).alias("w")).first()["w"]
     start, end = iso(span["from_s"]), iso(span["to_s"])
-    docs = documents(fetch(start, end), end).withColumn("version", F.lit(now).cast("long"))
-    fresh = points(docs.dropDuplicates(["id"]), settings, "version")
-    old = store.read()
-    store.replace(fresh if old is None else without_stale_chunks(old, fresh).select(*fresh.columns))
+    # Fetched once: every reader of the responses reads what has landed.
+    raw = written(fetch(start, end), "responses")
+    merge(store, documents(raw, end).withColumn("version", F.lit(now).cast("long")), settings, "version", provider)
+    removed(raw)
     cursor.write(end)
     return start, end

@@ -36,3 +36,14 @@ def test_top_rows_come_from_heaps(spark):
 def test_ranking_has_no_python(spark):
     text = plan(spark, "mmr_rerank")
     assert "Python" not in text and "InArrow" not in text and "CartesianProduct" not in text
+
+
+def test_batched_search_has_a_grid_of_keys(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, "knn_batch")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    keys = [line for line in text.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    assert keys and all("qp#" in line and "sp#" in line for line in keys)

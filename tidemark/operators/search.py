@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Vectors per block: a pair of blocks is one matrix product.
 BLOCK = 2048
+#: Queries and stored vectors of a task.
+QUERY_PART, STORE_PART = 8192, 131_072
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -50,10 +52,16 @@ def _blocks(df: DataFrame, dim_tag: str) -> DataFrame:
 
 def knn(queries: DataFrame, store: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False) -> DataFrame:
     """``query_id``, ``neighbour_id``, ``score``, ``rank``: exact top ``k`` for every query.
-    Both sides become blocks of vectors; every pair of blocks is one matrix product that
-    keeps ``k`` rows per query, so rows are never paired one by one and neither side is
-    collected. Unusable vectors (null, empty, zero, not finite) are left out."""
-    q, s = _blocks(queries.select(key, vector), "q"), _blocks(store.select(key, vector), "s")
+    Both sides become blocks of vectors in parts; a part of the queries meets a part of the
+    store in a task of its own (the grid of both), where every pair of blocks is one matrix
+    product that keeps ``k`` rows per query. So rows are never paired one by one, neither
+    side is collected, and no key holds more than two parts. Unusable vectors (null, empty, zero, not finite) are left out."""
+    many = lambda df, size: F.lit(max(1, -(-df.count() // size)))
+    nq, ns = many(queries, QUERY_PART), many(store, STORE_PART)
+    part = lambda ids, n: F.pmod(F.xxhash64(F.get(ids, F.lit(0))), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = _blocks(queries.select(key, vector), "q").withColumn("qp", part("q_ids", nq)).withColumn("sp", every(ns))
+    s = _blocks(store.select(key, vector), "s").withColumn("sp", part("s_ids", ns)).withColumn("qp", every(nq))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,6 +81,6 @@ def knn(queries: DataFrame, store: DataFrame, key: str, vector: str, k: int, exc
                     [pa.array(np.repeat(qi, keep.sum(1))), pa.array(si[best][keep]), pa.array(value[keep])], names=["query_id", "neighbour_id", "score"]
                 )
 
-    pairs = q.join(s, "dim").mapInArrow(run, "query_id bigint, neighbour_id bigint, score double")
+    pairs = q.join(s, ["dim", "qp", "sp"]).mapInArrow(run, "query_id bigint, neighbour_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -455,18 +455,6 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "neighbour_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(
-    f"select query_id, label::bigint label, neighbour_id, score from (select n.*, e.label, row_number() over (partition by query_id, e.label order by n.score desc, neighbour_id) b from ({_BATCH_SQL.format(64)}) n join embeddings e on e.vec_id = n.neighbour_id) where b = 1"
-)
-def two_phase_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over-fetch 64, then keep the best of each group (here: label)."""
-    v = _vectors(spark, sf_dir)
-    near = search.knn(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 64, exclude_self=True).withColumn("score", F.round("score", 4))
-    near = near.join(v.select(F.col("vec_id").alias("neighbour_id"), F.col("label").cast("bigint").alias("label")), "neighbour_id")
-    best = F.row_number().over(W.partitionBy("query_id", "label").orderBy(F.desc("score"), "neighbour_id"))
-    return near.withColumn("b", best).where("b = 1").select("query_id", "label", "neighbour_id", "score")
-
-
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct hits with the instant of their document."""
     hits = table(spark, sf_dir, "hit").where("request_id is not null and id is not null").withColumn("kind", E.kind_code(F.col("kind")))
@@ -531,6 +519,24 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", F.col("place").cast("bigint").alias("place"), "id", F.round("score", 6).alias("score"))
 
 
+_T1_SQL = f"""c as (select n.query_id request_id, neighbour_id::varchar id, null::varchar chunk_of, n.score, rank, 16 take, count(*) over (partition by query_id) n, {_KINDS_SQL} kind, text, {_SECONDS_SQL} as seconds
+   from ({_BATCH_SQL.format(64)}) n join rag_document d on d.row_id = n.neighbour_id)"""
+
+
+@query(f"with recursive {_T1_SQL}, m as (" + _MMR_SQL.split(", m as (", 1)[1].replace(", 6)", ", 9)"))
+def two_phase_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 nearest of every hundredth vector, then the rerank to 16: a vector stands for
+    the document with its number."""
+    v = _vectors(spark, sf_dir)
+    near = search.knn(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 64, exclude_self=True)
+    docs = _documents(spark, sf_dir).select(F.col("row_id").alias("neighbour_id"), "kind", "text", E.rfc3339_seconds(F.col("timestamp")).alias("seconds"))
+    found = near.join(docs, "neighbour_id").select(
+        F.col("query_id").alias("request_id"), F.col("neighbour_id").cast("string").alias("id"), F.lit(None).cast("string").alias("chunk_of"), F.round("score", 4).alias("score"), "kind", "text", "seconds", "rank"
+    )
+    out = rerank.rerank(found, found.select("request_id", F.lit(16).alias("take")).distinct(), NOW)
+    return out.select("request_id", F.col("place").cast("bigint").alias("place"), "id", F.round("score", 9).alias("score"))
+
+
 @query(f"with {_TOP_SQL} {_SAME_SQL}")
 def mmr_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with no more candidates than they take keep them as they are."""

@@ -51,7 +51,7 @@ QUERIES = {"p1_found": p1_found, "p1_instants": p1_instants}
 ORACLES: dict[str, str] = {}
 
 
-def _oracle(every: bool = False) -> str:
+def instants_sql(every: bool = False) -> str:
     """The same by SQL: one branch per notation, another way to read each of them."""
     offsets = " ".join(f"when '{k}' then {v}" for k, v in ABBREVIATIONS.items())
     months = " ".join(f"when '{m}' then {i + 1}" for i, m in enumerate(MONTHS))
@@ -104,8 +104,8 @@ def _oracle(every: bool = False) -> str:
    from raw where regexp_matches(v, '^\\s*(?:\\d{{10}}(?:[.,]\\d{{1,9}})?|\\d{{13}}|\\d{{16}}|\\d{{19}})\\s*$')"""
 
 
-ORACLES["p1_found"] = _oracle()
-ORACLES["p1_instants"] = f"""with i as ({_oracle(True)}), r as ({
+ORACLES["p1_found"] = instants_sql()
+ORACLES["p1_instants"] = f"""with i as ({instants_sql(True)}), r as ({
     " union all ".join(f"select '{src}' src, {key} row_key, '{field}' field, \"{field}\" v from {src}" for src, key, field, _ in _FIELDS)
 }) select r.src, r.field, count(*) n_rows, sum(case when v is null then 1 else 0 end)::bigint n_null, count(utc_us) n_instants, sum(case when v is not null and utc_us is null then 1 else 0 end)::bigint n_unreadable,
  min(utc_us) first_us, max(utc_us) last_us from r left join i on i.src = r.src and i.row_key = r.row_key and i.field = r.field group by r.src, r.field"""

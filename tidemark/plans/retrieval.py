@@ -14,6 +14,7 @@ from tidemark.operators import context, requested, rerank, search, store
 from tidemark.operators.chunking import chunk
 from tidemark.operators.embed import hash_embedding
 from tidemark.operators.planner import ENVIRONMENT, SERVICE, plan
+from tidemark.plans.instants import instants_sql
 from tidemark.session import shared_dir
 from tidemark.sources import observability as obs
 from tidemark.sources.tables import table
@@ -341,7 +342,20 @@ def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("row_id", "id", "service", "environment")
 
 
-@query()
+_REQUESTED_SQL = f"""with i as materialized ({instants_sql(True)}),
+ d as materialized (select id, service, environment, utc_us t, list_concat(['service:' || service, 'env:' || environment], coalesce(json_extract(case when json_valid(metadata) then metadata end, '$.tags')::varchar[], [])) tags
+   from rag_document left join i on i.src = 'rag_document' and i.row_key = row_id where id is not null),
+ q as (select request_id, case when trim(service) <> '' then service end service, case when trim(env) <> '' then env end env, list_filter(coalesce(filters, []), lambda f: trim(f) <> '') filters,
+   trim(from_utc) <> '' has_a, trim(to_utc) <> '' has_b, x.utc_us a, y.utc_us b from ask_request
+   left join i x on x.src = 'ask_request' and x.row_key = request_id and x.field = 'from_utc' left join i y on y.src = 'ask_request' and y.row_key = request_id and y.field = 'to_utc'),
+ r as (select request_id, service, env, filters, coalesce(has_a, false) or coalesce(has_b, false) ranged, not (coalesce(has_a, false) and a is null or coalesce(has_b, false) and b is null) readable,
+   case when a > b then b else a end a, case when a > b then a else b end b from q),
+ n as (select request_id, count(distinct id) n from r join d on (r.service is null or d.service = r.service) and (r.env is null or d.environment = r.env) and list_has_all(d.tags, r.filters)
+   and (not ranged or t is not null and (a is null or t >= a) and (b is null or t < b)) group by request_id)
+ select request_id, case when readable then coalesce(n, 0) end n_documents from r left join n using (request_id)"""
+
+
+@query(_REQUESTED_SQL)
 def request_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per request by its own time range (any notation), service, environment and
     tags, each of them optional."""

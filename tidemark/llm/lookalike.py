@@ -320,3 +320,12 @@ def equal_looking(df: DataFrame, key: str, text: str, model: dict | None = None)
     y = rows.select("hi", "lo", F.col("stored").alias("sb"), F.col("id").alias("y"))
     out = pairs.join(x, ["hi", "lo", "sa"]).join(y, ["hi", "lo", "sb"]).where("x <> y")
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def classes(df: DataFrame, key: str, text: str, model: dict | None = None) -> DataFrame:
+    """``id``, ``class_id`` (the smallest id of the rows with this form) and ``class_size``."""
+    model = bigrams(df, text) if model is None else model
+    rows = written(_keys(df, key, text, model).distinct(), "forms")
+    # Counted before the join, so a form that a third of all rows share meets one row only.
+    heads = rows.groupBy("hi", "lo").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(heads, ["hi", "lo"]).select("id", "class_id", "class_size")

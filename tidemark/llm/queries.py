@@ -138,6 +138,12 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_nearest, p5_neighbours, p6_varied, p6_quality, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms]
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of texts that look like its own."""
+    out = lookalike.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.withColumnRenamed("id", "doc_id")
+
+
+_ALL = [p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_nearest, p5_neighbours, p6_varied, p6_quality, p7_found, p7_spans, p8_found, p8_mix, p8_targets, p8_shares, p9_found, p9_forms, p9_classes]
 QUERIES = {query.__name__: query for query in _ALL}
 

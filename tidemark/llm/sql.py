@@ -24,6 +24,16 @@ ORACLES = {
  m as (select t.*, coalesce(s, 0) s from mix_target t left join size using (source))
  select mix_id, source from (select *, sum(s) over (partition by mix_id) whole from m) where target_share * total_ratio * whole > max_repeats * s""",
 }
+_WORD_SETS = ORACLES["p3_found"].partition("\n select distinct a.id id_a")[0]
+ORACLES["p3_groups"] = f"""with recursive {_WORD_SETS.removeprefix('with ')},
+ k as materialized (select distinct id, s, list_sort(t) t from c),
+ kc as materialized (select row_number() over () n, s, t, count(*) copies from k group by s, t),
+ e as materialized (select a.n x, b.n y from kc a join kc b on a.s = b.s and a.n <> b.n and len(a.t) >= 0.63 * len(b.t) and len(b.t) >= 0.63 * len(a.t) where len(list_intersect(a.t, b.t)) / sqrt(len(a.t)::double * len(b.t)) >= 0.8),
+ m as materialized (select id, kc.n, copies, (select count(*) from e where e.x = kc.n) links from k join kc on k.s = kc.s and k.t = kc.t),
+ step as materialized (select distinct a.id x, b.id y from m a join (select x, y from e union all select n, n from kc) e on a.n = e.x join m b on b.n = e.y),
+ reach as (select id, id r from (select distinct id from m) union select reach.id, step.y from reach join step on step.x = reach.r),
+ g as (select id, min(r) group_id from reach group by id)
+ select id, group_id, count(*) over (partition by group_id) group_size, (select sum(links + copies - 1)::bigint from m where m.id = g.id) n_links from g"""
 ORACLES["p8_targets"] = f"""with s as ({ORACLES['p8_found']}) select mix_id, source, max(target_share) target_share, (mix_id, source) in (select (mix_id, source) from s) short from mix_target group by mix_id, source"""
 
 
@@ -54,6 +64,8 @@ def _words_sql(text: str) -> str:
 
 ORACLES["p9_found"] = f"""with f as materialized (select doc_id, text, {_shape_sql('text')} s from documents where doc_id is not null and text is not null)
  select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.s = b.s and a.doc_id < b.doc_id where a.text <> b.text"""
+ORACLES["p9_classes"] = f"""with f as materialized (select doc_id, {_shape_sql('text')} s from documents where doc_id is not null and text is not null)
+ select doc_id, min(doc_id) over (partition by s) class_id, count(*) over (partition by s) class_size from f"""
 ORACLES["p7_found"] = f"""with i as materialized (select item_id, {_words_sql('text')} w from eval_item where item_id is not null and text is not null),
  g as (select item_id, least(len(w), 12) n, w, unnest(range(1, len(w) - least(len(w), 12) + 2)) k from i where len(w) > 0),
  p as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') gram from g),

@@ -43,3 +43,17 @@ def test_the_core_stands_alone():
     for path in glob.glob("tidemark/**/*.py", recursive=True):
         if not path.startswith("tidemark/llm"):
             assert "tidemark.llm" not in open(path).read(), path
+
+
+def test_the_core_is_registered_without_the_subpackage(monkeypatch):
+    import importlib
+
+    real = importlib.import_module
+
+    def broken(name, *args):
+        if name == "tidemark.llm":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args)
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    assert "p1_found" in entry.queries() and "p3_found" not in entry.queries() and "p3_found" not in entry.oracle_sql()

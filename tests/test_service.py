@@ -128,6 +128,62 @@ def test_service_and_command_line(spark, monkeypatch, capsys):
     httpd.shutdown()
 
 
+class Echo:
+    """A model that tells how many passages it was given, and plans."""
+
+    def chat(self, system, user, as_json=False):
+        return '{"intent": "logs", "service": "from-model"}' if as_json else str(user.count("[DOC #"))
+
+
+def test_a_request_is_held_to_its_range_and_filters(spark):
+    schema = "id string, chunk_of string, title string, text string, kind string, timestamp string, service string, environment string, source_uri string, metadata string, seconds bigint"
+    rows = [(f"d{i}#c0", f"d{i}", f"T{i}", f"queue {i} is stuck", "logs", None, "a", "prod", "u", '{"tags": ["team:x"]}' if i % 2 else "{}", 1_735_689_600 + i * 3600 if i < 8 else None) for i in range(10)]
+    chunks = spark.createDataFrame(rows, schema).withColumn("vector", hash_embedding(F.col("text")))
+    model = Echo()
+    httpd = server(lambda: chunks, model, port=0, spark=spark, planner=lambda q: model.chat("", q, as_json=True) if "model" in q else "broken")
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+
+    def post(path, **body):
+        return json.loads(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{httpd.server_port}{path}", json.dumps(body).encode())).read())
+
+    asked = lambda **more: post("/ask", question="queue", **more)["answer"]
+    assert asked() == "10" and asked(from_utc="2025-01-01T02:00:00Z") == "6" and asked(from_utc="01/01/2025 05:00:00 AM", to_utc="2025-01-01T02:00:00Z") == "3"
+    assert asked(filters=["team:x", "env:prod", ""]) == "5" and asked(filters=["team:y"]) == "0" and asked(to_utc="1735689600") == "0"
+    assert "no instant: soon" in asked(from_utc="soon")
+    for bad in ({"env": 1}, {"filters": "x"}, {"from_utc": []}):
+        with pytest.raises(urllib.error.HTTPError) as error:
+            asked(**bad)
+        assert error.value.code == 400
+    assert post("/ask/plan", question="ask the model")["plan"]["service"] == "from-model"
+    assert post("/ask/plan", question="logs of cart-api in the last 2 hours")["plan"]["service"] == "cart-api"
+    httpd.shutdown()
+
+
+def test_windows_of_questions(spark):
+    from tidemark.operators.planner import plan
+
+    cases = {
+        "errors from 2025-01-01T00:00:00Z to 2025-01-01 02:00": ("2025-01-01T00:00:00Z", "2025-01-01 02:00"), "since 2025-01-01T00:00:00Z": ("2025-01-01T00:00:00Z", None),
+        "what broke in the last 3 hours?": ("2025-01-01T09:00:00Z", "2025-01-01T12:00:00Z"), "past day": ("2024-12-31T12:00:00Z", "2025-01-01T12:00:00Z"),
+        "incidents Yesterday": ("2024-12-31T00:00:00Z", "2025-01-01T00:00:00Z"), "why?": (None, None), None: (None, None),
+    }
+    df = plan(spark.createDataFrame([(q,) for q in cases], "question string"), now=1_735_732_800)
+    assert {r["question"]: (r["plan"]["window"]["fromUtc"], r["plan"]["window"]["toUtc"]) for r in df.collect()} == cases
+
+
+def test_loading_from_the_command_line(spark, web, monkeypatch, capsys, tmp_path):
+    from tidemark.operators.store import VersionedStore, searchable
+
+    assert cli.main(["load"]) == 2 and cli.main(["serve"]) == 2
+    monkeypatch.setenv("TIDEMARK_STORE", str(tmp_path))
+    assert cli.main(["load"]) == 2
+    monkeypatch.setenv("TIDEMARK_SOURCE_URL", web[0])
+    assert cli.main(["load", "--now", "1735689600"]) == 0
+    assert capsys.readouterr().out == "2024-12-31T22:30:00Z 2025-01-01T00:00:00Z\n"
+    rows = {r["id"]: r for r in searchable(VersionedStore(spark, f"{tmp_path}/points").read()).collect()}
+    assert len(rows) == 6 and rows["monitor_1#c0"]["service"] == "a" and rows["metric_a_b#c0"]["seconds"] == 1_735_689_600
+
+
 def test_windowed_counts(spark, tmp_path):
     df = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 03:00:00"), ("b", "2024-01-01 08:00:00")], "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))

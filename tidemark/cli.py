@@ -1,4 +1,5 @@
-"""Command line: ``ask`` and ``plan`` (at the service, or ``ask`` over a local store), ``index``."""
+"""Command line: ``ask`` and ``plan`` (at the service, or ``ask`` over a local store), ``index``
+for landed files, ``load`` for one window of the source, ``serve`` for the service."""
 
 from __future__ import annotations
 
@@ -9,6 +10,12 @@ import time
 import urllib.request
 
 
+PLAN_PROMPT = (
+    "Plan the search for a question about operations. Answer with one JSON object with the fields intent (rootCause, incident, slo, monitor, metric, logs or unknown), service, environment, "
+    "monitorId, incidentId, metric, sloId, window (fromUtc, toUtc), filters, missingFields, clarifyingQuestions and rewrittenQuery; leave out what the question doesn't say."
+)
+
+
 def _post(route: str, body: dict) -> dict:
     from tidemark.config import Settings
 
@@ -36,6 +43,42 @@ def _remote(args: argparse.Namespace) -> int:
     return 0
 
 
+def _run(args: argparse.Namespace) -> int:
+    """``load`` and ``serve``, with the settings of the environment."""
+    from tidemark.config import Settings
+    from tidemark.operators.store import VersionedStore, searchable
+    from tidemark.providers import Extractive, HttpModel
+    from tidemark.session import get_session
+
+    settings = Settings.from_env()
+    root = args.root or settings.store
+    if not root:
+        print("a store is needed: --root or TIDEMARK_STORE", file=sys.stderr)
+        return 2
+    model = HttpModel(settings.model_url, settings.model_key, settings.embedding_model, settings.chat_model) if settings.model_url else None
+    spark = get_session()
+    if args.verb == "load":
+        from tidemark.sources.http import ObservabilitySource
+        from tidemark.streaming.incremental import load
+
+        if not settings.source_url:
+            print("a source is needed: TIDEMARK_SOURCE_URL", file=sys.stderr)
+            return 2
+        spark.dataSource.register(ObservabilitySource)
+        source = spark.read.format("observability").options(url=settings.source_url, headers=settings.source_headers)
+        span = load(spark, root, lambda a, b: source.options(from_utc=a, to_utc=b).load(), args.now or int(time.time()), settings, model.embed if model else None)
+        print(*span)
+        return 0
+    from tidemark.service import server
+
+    newest = lambda: searchable(VersionedStore(spark, f"{root}/points").read())
+    planner = (lambda question: model.chat(PLAN_PROMPT, question, as_json=True)) if model and settings.plan_with_model else None
+    service = server(newest, model or Extractive(), settings, args.port, args.host, planner, model.embed if model else None, spark)
+    print(f"listening on {args.host}:{service.server_address[1]}", file=sys.stderr)
+    service.serve_forever()
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     verbs = parser.add_subparsers(dest="verb", required=True)
@@ -50,8 +93,17 @@ def main(argv: list[str] | None = None) -> int:
     verb = verbs.add_parser("index")
     verb.add_argument("source")
     verb.add_argument("root")
+    verb = verbs.add_parser("load")
+    verb.add_argument("--root", help="folder of the store and its cursor (TIDEMARK_STORE)")
+    verb.add_argument("--now", type=int, help="end of the window in seconds since 1970")
+    verb = verbs.add_parser("serve")
+    verb.add_argument("--root", help="folder of the store (TIDEMARK_STORE)")
+    verb.add_argument("--port", type=int, default=5191)
+    verb.add_argument("--host", default="127.0.0.1")
     args = parser.parse_args(argv)
 
+    if args.verb in ("load", "serve"):
+        return _run(args)
     if args.verb != "index" and not getattr(args, "store", None):
         return _remote(args)
     from tidemark.operators.planner import plan

@@ -39,6 +39,15 @@ class Settings:
     upsert_batch: int = 64
     api_url: str = "http://localhost:5191"
     api_token: str | None = None
+    source_url: str | None = None
+    source_headers: str = "{}"
+    store: str | None = None
+    store_buckets: int = 32
+    model_url: str | None = None
+    model_key: str = ""
+    chat_model: str = "chat"
+    embedding_model: str = "embedding"
+    plan_with_model: bool = False
 
     @classmethod
     def from_env(cls) -> Settings:
@@ -49,4 +58,13 @@ class Settings:
             lookback_minutes=_int("TIDEMARK_LOOKBACK_MINUTES", 90),
             api_url=os.environ.get("TIDEMARK_API_URL", "http://localhost:5191"),
             api_token=os.environ.get("TIDEMARK_API_TOKEN"),
+            source_url=os.environ.get("TIDEMARK_SOURCE_URL"),
+            source_headers=os.environ.get("TIDEMARK_SOURCE_HEADERS", "{}"),
+            store=os.environ.get("TIDEMARK_STORE"),
+            store_buckets=_int("TIDEMARK_STORE_BUCKETS", 32),
+            model_url=os.environ.get("TIDEMARK_MODEL_URL"),
+            model_key=os.environ.get("TIDEMARK_MODEL_KEY", ""),
+            chat_model=os.environ.get("TIDEMARK_CHAT_MODEL", "chat"),
+            embedding_model=os.environ.get("TIDEMARK_EMBEDDING_MODEL", "embedding"),
+            plan_with_model=os.environ.get("TIDEMARK_PLAN_WITH_MODEL", "").lower() in ("1", "true", "yes"),
         )

@@ -23,9 +23,30 @@ def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(F.lower(text), pattern, 1), F.lit(""))
 
 
-def plan(df: DataFrame, question: str = "question", known_env: str | None = None, known_service: str | None = None) -> DataFrame:
+_INSTANT = r"\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2})?(?:[Zz]|[+-]\d{2}:\d{2})?"
+_LAST = r"\b(?:last|past)\s+(\d{1,4})?\s*(minute|hour|day|week)s?\b"
+
+
+def _window(q: Column, now: Column) -> Column:
+    """The range a question names: one or two written instants, the last so many minutes to
+    weeks before ``now`` (seconds), or yesterday; else null."""
+    iso = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    written = lambda n: F.get(F.regexp_extract_all(q, F.lit(f"({_INSTANT})"), 1), F.lit(n))
+    low = F.lower(q)
+    unit = F.nullif(F.regexp_extract(low, _LAST, 2), F.lit(""))
+    many = F.coalesce(F.regexp_extract(low, _LAST, 1).try_cast("long"), F.lit(1))
+    seconds = many * F.when(unit == "minute", 60).when(unit == "hour", 3600).when(unit == "day", 86400).otherwise(604800)
+    day = F.floor(now / 86400) * 86400
+    yesterday = low.rlike(r"\byesterday\b")
+    start = F.when(written(0).isNotNull(), written(0)).when(unit.isNotNull(), iso(now - seconds)).when(yesterday, iso(day - 86400))
+    end = F.when(written(0).isNotNull(), written(1)).when(unit.isNotNull(), iso(now)).when(yesterday, iso(day))
+    return F.struct(start.alias("fromUtc"), end.alias("toUtc"))
+
+
+def plan(df: DataFrame, question: str = "question", known_env: str | None = None, known_service: str | None = None, now: int | None = None) -> DataFrame:
     """Add ``plan``. Columns named in ``known_*`` beat what the text says. What is missing
-    is listed with a question to ask; a null question gives an unknown plan."""
+    is listed with a question to ask; a null question gives an unknown plan. The window is
+    read relative to ``now`` (seconds since 1970); without it only written instants count."""
     q = F.coalesce(F.col(question), F.lit(""))
     service = F.coalesce(*([F.nullif(F.col(known_service), F.lit(""))] if known_service else []), _first(q, SERVICE))
     env = F.coalesce(*([F.nullif(F.col(known_env), F.lit(""))] if known_env else []), _first(q, ENVIRONMENT))
@@ -40,7 +61,7 @@ def plan(df: DataFrame, question: str = "question", known_env: str | None = None
         "intent": intent, "service": service, "environment": env,
         "monitorId": _first(q, _ID.format("monitor")), "incidentId": _first(q, _ID.format("(?:incident|inc)")),
         "metric": _first(q, r"\b([a-z][a-z0-9_]*(?:\.[a-z0-9_]+)+)\b"), "sloId": _first(q, _ID.format("slo")),
-        "window": F.struct(F.lit(None).cast("string").alias("fromUtc"), F.lit(None).cast("string").alias("toUtc")),
+        "window": _window(q, F.lit(now).cast("long")),
         "filters": filters,
         "missingFields": listed((service.isNull(), "service"), (env.isNull(), "environment")),
         "clarifyingQuestions": listed((service.isNull(), "Which service do you mean?"), (env.isNull(), "Which environment: prod, staging or dev?")),

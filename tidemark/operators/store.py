@@ -23,6 +23,16 @@ def payload() -> Column:
     return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
 
 
+def searchable(points: DataFrame) -> DataFrame:
+    """The points of a store with the columns of their documents, read from the payloads, and
+    the instant in ``seconds``."""
+    from tidemark.functions.exprs import rfc3339_seconds
+
+    cells = {c: F.get_json_object("payload", f"$.{k}") for k, c in PAYLOAD.items() if c != "id"}
+    out = points.where("point_id is not null").select("id", "chunk_of", "vector", *[x.alias(c) for c, x in cells.items()])
+    return out.withColumn("seconds", rfc3339_seconds(F.col("timestamp")))
+
+
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row per key by ``order``. Rows are compared through a fixed-size maximum,
     so a key with very many versions is merged map-side."""

@@ -4,32 +4,44 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators.answer import ask
-from tidemark.operators.planner import plan
+from tidemark.operators.planner import decode_plan, plan, plan_with_model
 
 PORT = 5191
 _UNKNOWN = {"intent": "unknown", "filters": [], "missingFields": [], "clarifyingQuestions": []}
 
 
-def plan_of(spark: SparkSession, question: str) -> dict:
-    """The plan of one question; an unknown plan if planning fails."""
+def plan_of(spark: SparkSession, question: str, planner: Callable[[str], str] | None = None) -> dict:
+    """The plan of one question: the ``planner``'s (a model that writes JSON) if it gives one,
+    else the one by rules; an unknown plan if planning fails."""
     try:
-        row = plan(spark.createDataFrame([(question,)], "question string")).first()["plan"]
-        return row.asDict(recursive=True)
+        asked = spark.createDataFrame([(question,)], "question string")
+        if planner is not None:
+            told = spark.createDataFrame([(plan_with_model(question, planner),)], "told string").select(decode_plan(F.col("told")).alias("plan")).first()["plan"]
+            if told is not None and told["intent"] not in (None, "unknown"):
+                return told.asDict(recursive=True)
+        return plan(asked, now=int(time.time())).first()["plan"].asDict(recursive=True)
     except Exception:
         return dict(_UNKNOWN)
 
 
-def server(store: DataFrame, model, settings: Settings | None = None, port: int = PORT, host: str = "127.0.0.1") -> ThreadingHTTPServer:
-    """A server over a store of chunks; call ``serve_forever`` on it. A body without a
-    question gives 400, an unknown route 404, a missing or wrong token (if one is set) 401."""
+def server(
+    store: DataFrame | Callable[[], DataFrame], model, settings: Settings | None = None, port: int = PORT, host: str = "127.0.0.1", planner: Callable[[str], str] | None = None,
+    embed: Callable[[list[str]], list[list[float]]] | None = None, spark: SparkSession | None = None,
+) -> ThreadingHTTPServer:
+    """A server over a store of chunks (or a function that gives the newest); call
+    ``serve_forever`` on it. A body without a question, or with fields of other types, gives
+    400, an unknown route 404, a missing or wrong token (if one is set) 401."""
     settings = settings or Settings()
-    spark = store.sparkSession
+    spark = spark or store.sparkSession
+    texts = ("env", "service", "from_utc", "to_utc", "rewritten_query")
 
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self) -> None:  # noqa: N802
@@ -40,13 +52,19 @@ def server(store: DataFrame, model, settings: Settings | None = None, port: int
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
                 question = body["question"]
-                if not isinstance(question, str):
+                if not isinstance(question, str) or not all(isinstance(body.get(k), str | None) for k in texts):
+                    raise TypeError
+                tags = body.get("filters") or []
+                if not isinstance(tags, list) or not all(isinstance(t, str) for t in tags):
                     raise TypeError
             except (ValueError, KeyError, TypeError):
                 return self._reply(400, {"error": "a JSON body with a question is needed"})
             if self.path == "/ask/plan":
-                return self._reply(200, {"plan": plan_of(spark, question)})
-            text = ask(store, question, int(time.time()), model, settings, body.get("env"), body.get("service"), body.get("rewritten_query"))
+                return self._reply(200, {"plan": plan_of(spark, question, planner)})
+            chunks = store() if callable(store) else store
+            text = ask(
+                chunks, question, int(time.time()), model, settings, body.get("env"), body.get("service"), body.get("rewritten_query"), body.get("from_utc"), body.get("to_utc"), tags, embed
+            )
             return self._reply(200, {"answer": text})
 
         def _reply(self, status: int, value: dict) -> None:

@@ -52,7 +52,7 @@ def load(spark: SparkSession, root: str, fetch: Callable[[str, str], DataFrame],
     """Fetch the window from the cursor to ``now`` with ``fetch(from, to)``, merge its documents
     into the store at ``root`` and move the cursor. Returns the window."""
     settings = settings or Settings()
-    cursor, store = Cursor(spark, f"{root}/cursor"), VersionedStore(spark, f"{root}/points")
+    cursor, store = Cursor(spark, f"{root}/cursor"), VersionedStore(spark, f"{root}/points", buckets=settings.store_buckets)
     span = spark.range(1).select(window(F.lit(cursor.read()).cast("string"), F.lit(now).cast("long"), settings.lookback_minutes).alias("w")).first()["w"]
     start, end = iso(span["from_s"]), iso(span["to_s"])
     # Fetched once: every reader of the responses reads what has landed.

@@ -62,7 +62,7 @@ def chunks(store: VersionedStore) -> DataFrame:
 def index_available(spark: SparkSession, source: str, root: str, schema, settings: Settings | None = None, version: str = "row_id", provider: Provider | None = None) -> VersionedStore:
     """Read all files that are new in ``source`` (parquet) into the store at ``root``."""
     settings = settings or Settings()
-    store = VersionedStore(spark, f"{root}/points")
+    store = VersionedStore(spark, f"{root}/points", buckets=settings.store_buckets)
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(lambda batch, _: merge(store, batch, settings, version, provider)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -18,16 +18,16 @@ def choose(spark, rows, takes):
     return out
 
 
-def cost(scores, chosen, take):
+def cost(scores, chosen, take, costs=R.Costs()):
     kinds, stories = {k for k, _ in scores}, {s for _, s in scores}
     target = -(-take // len(kinds))
     total = -sum(sum(scores[c][:n]) for c, n in chosen.items())
     for k in kinds:
         n = sum(v for c, v in chosen.items() if c[0] == k)
-        total += (-R.NEW_KIND if n else 0) + R.OVERUSE_STEP * sum(max(0, i + 1 - target) for i in range(n))
+        total += (-costs.new_kind if n else 0) + costs.overuse_step * sum(max(0, i + 1 - target) for i in range(n))
     for s in stories:
         n = sum(v for c, v in chosen.items() if c[1] == s)
-        total += sum(R.REUSE_FIRST + R.REUSE_STEP * (i - 1) for i in range(1, n))
+        total += sum(costs.reuse_first + costs.reuse_step * (i - 1) for i in range(1, n))
     return total
 
 
@@ -42,6 +42,8 @@ def test_the_flow_is_the_cheapest():
         best = min(cost(combos, c, take) for c in all_choices)
         got = R.quotas(combos, take)
         assert sum(got.values()) == take and abs(cost(combos, got, take) - best) < 1e-9
+        free = R.quotas(combos, take, R.Costs(0.0, 0.0, 0.0, 0.0))
+        assert abs(sum(sum(combos[c][:n]) for c, n in free.items()) - sum(sorted((x for v in combos.values() for x in v), reverse=True)[:take])) < 1e-9
 
 
 def test_one_big_story_does_not_fill_the_choice(spark):

@@ -85,8 +85,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words to remove from every leaking document."""
-    return leaks.removal_spans(_leaks(spark, sf_dir), "doc_id")
+    """The words to remove from every leaking document, a row per span."""
+    spans = leaks.removal_spans(_leaks(spark, sf_dir), "doc_id")
+    return spans.select("doc_id", "n_items", F.inline("spans")).select("doc_id", F.col("a").alias("word_from"), F.col("b").alias("word_to"), "n_items")
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:

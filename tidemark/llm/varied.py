@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,18 @@ BLOCK, WORDS = 2000, 4096
 DEFAULT_TAKE = 16
 #: More than any request has: all of its hits with their stories.
 EVERYTHING = 2_000_000_000
-#: Costs in units of score: further uses of a story (2nd, 3rd, ...), use of a kind beyond
-#: its balanced target (growing by this per unit), and the reward for a kind's first hit.
-REUSE_FIRST, REUSE_STEP = 0.35, 0.25
-OVERUSE_STEP, NEW_KIND = 0.04, 0.3
+
+
+class Costs(NamedTuple):
+    """What the flow weighs against scores, in their unit; a caller sets them for its own data."""
+
+    #: The second use of a story, and what each further one costs more.
+    reuse_first: float = 0.35
+    reuse_step: float = 0.25
+    #: A unit of a kind beyond its balanced target, growing by this each.
+    overuse_step: float = 0.04
+    #: The reward of a kind's first hit.
+    new_kind: float = 0.3
 
 
 def stories(texts: list[str | None], parents: list[str | None]) -> list[int]:
@@ -110,7 +119,7 @@ def _rank(h: dict) -> tuple:
     return (missing, -_worth(h["score"]), h["id"])
 
 
-def quotas(scores: dict[tuple[str, int | str], list[float]], take: int) -> dict[tuple[str, int | str], int]:
+def quotas(scores: dict[tuple[str, int | str], list[float]], take: int, costs: Costs = Costs()) -> dict[tuple[str, int | str], int]:
     """How many hits of each (kind, story) the cheapest flow of ``take`` units takes."""
     kinds = sorted({k for k, _ in scores})
     told = sorted({s for _, s in scores})
@@ -123,12 +132,12 @@ def quotas(scores: dict[tuple[str, int | str], list[float]], take: int) -> dict[
     arcs: list[tuple[int, int, list[float]]] = []
     limit = min(take, sum(len(v) for v in scores.values()))
     for k in kinds:
-        arcs.append((0, kn[k], [(-NEW_KIND if i == 0 else 0.0) + OVERUSE_STEP * max(0, i + 1 - target) for i in range(limit)]))
+        arcs.append((0, kn[k], [(-costs.new_kind if i == 0 else 0.0) + costs.overuse_step * max(0, i + 1 - target) for i in range(limit)]))
     for (k, s), row in sorted(scores.items()):
         arcs.append((kn[k], sn[s], [-x for x in row[:limit]]))
     for s in told:
         room = sum(len(v) for (_, t), v in scores.items() if t == s)
-        arcs.append((sn[s], sink, [0.0 if i == 0 else REUSE_FIRST + REUSE_STEP * (i - 1) for i in range(min(limit, room))]))
+        arcs.append((sn[s], sink, [0.0 if i == 0 else costs.reuse_first + costs.reuse_step * (i - 1) for i in range(min(limit, room))]))
     flow = [0] * len(arcs)
     for _ in range(limit):
         far = [math.inf] * (sink + 1)
@@ -153,14 +162,14 @@ def quotas(scores: dict[tuple[str, int | str], list[float]], take: int) -> dict[
     return {key: flow[len(kinds) + i] for i, key in enumerate(sorted(scores))}
 
 
-def pick(hits: list[dict], take: int) -> list[dict]:
+def pick(hits: list[dict], take: int, costs: Costs = Costs()) -> list[dict]:
     """The chosen hits of one request with their stories, best first."""
     if take < 1 or not hits:
         return []
     if len(hits) <= take:
         return sorted(hits, key=_rank)
     combos = _thinned(_ranked(hits), take)
-    got = quotas({c: [_worth(h["score"]) for h in rows] for c, rows in combos.items()}, take)
+    got = quotas({c: [_worth(h["score"]) for h in rows] for c, rows in combos.items()}, take, costs)
     out = [h for c, rows in combos.items() for h in rows[: got[c]]]
     return sorted(out, key=_rank)
 
@@ -178,7 +187,7 @@ def _thinned(combos: dict[tuple[str, str], list[dict]], take: int) -> dict[tuple
     return out
 
 
-def select(hits: DataFrame, requests: DataFrame) -> DataFrame:
+def select(hits: DataFrame, requests: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """``request_id``, ``id``, ``kind``, ``score``, ``story``, ``place``: the choice for every
     request. ``hits`` as delivered, ``requests`` with ``request_id`` and ``take``."""
     kind = F.coalesce(F.nullif(F.regexp_replace(F.lower("kind"), r"[^\p{L}\p{N}]", ""), F.lit("")), F.lit("unknown"))
@@ -207,7 +216,7 @@ def select(hits: DataFrame, requests: DataFrame) -> DataFrame:
         all_of = told.where("n <= take").withColumn("place", place).select(*names)
     whole = whole.groupBy("request_id").agg(F.collect_list("hit").alias("hits")).join(take, "request_id")
     ddl = f"request_id {clean.schema['request_id'].dataType.simpleString()}, id string, kind string, score float, story string, place int"
-    out = whole.select("request_id", "take", "hits").mapInArrow(_picked, ddl)
+    out = whole.select("request_id", "take", "hits").mapInArrow(lambda batches: _picked(batches, costs), ddl)
     return out if all_of is None else out.unionAll(all_of)
 
 
@@ -274,7 +283,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=["request_id", "u", "v"])
 
 
-def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _picked(batches: Iterator[pa.RecordBatch], costs: Costs) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
@@ -282,7 +291,7 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hits[0]["story"] is None:
                 for h, i in zip(hits, stories([h["text"] for h in hits], [h["parent"] for h in hits]), strict=True):
                     h["story"] = hits[i]["id"]
-            for place, h in enumerate(pick(hits, r["take"]), 1):
+            for place, h in enumerate(pick(hits, r["take"], costs), 1):
                 rows.append((r["request_id"], h["id"], h["kind"], h["score"], h["story"], place))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [batch.schema.field("request_id").type, pa.string(), pa.string(), pa.float32(), pa.string(), pa.int32()]

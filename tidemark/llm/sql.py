@@ -76,6 +76,6 @@ ORACLES["p7_found"] = f"""with i as materialized (select item_id, {_words_sql('t
 ORACLES["p7_spans"] = ORACLES["p7_found"].partition("\n select distinct doc_id, item_id")[0] + """,
  s as materialized (select distinct doc_id, item_id, k - 1 a, k - 1 + h.n b from h join p on p.n = h.n and p.gram = array_to_string(h.w[h.k:h.k + h.n - 1], ' ')),
  e as (select *, case when a <= max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end fresh from s),
- g as (select *, sum(fresh) over (partition by doc_id order by a, b rows unbounded preceding) part from e),
+ runs as (select *, sum(fresh) over (partition by doc_id order by a, b rows unbounded preceding) part from e),
  c as (select doc_id, count(distinct item_id) n_items from s group by doc_id)
- select g.doc_id, min(a)::bigint word_from, max(b)::bigint word_to, any_value(n_items) n_items from g join c on c.doc_id = g.doc_id group by g.doc_id, part"""
+ select runs.doc_id, min(a)::bigint word_from, max(b)::bigint word_to, any_value(n_items) n_items from runs join c on c.doc_id = runs.doc_id group by runs.doc_id, part"""

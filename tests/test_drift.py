@@ -132,5 +132,10 @@ def test_no_value_is_lost(spark):
     assert sum(sum(r[c] is not None for c in fields) + len(r["rest"] or {}) for r in out.collect()) == sent
 
 
+def test_a_name_that_comes_again_is_another_field(spark):
+    rows = [("a", 1, "x", '{"A": "1", "k": 0}'), ("a", 2, "x", '{"k": 0}'), ("a", 3, "x", '{"A": "2", "k": 0}'), ("a", 4, "x", '{"D": "2", "k": 0}')]
+    assert [(r["a"], r["d"]) for r in table(spark, rows).orderBy("f").collect()] == [("1", None), (None, None), (None, "2"), (None, "2")]
+
+
 def test_an_empty_table(spark):
     assert table(spark, []).columns == ["w", "f", "id", "p", "rest"] and table(spark, []).count() == 0

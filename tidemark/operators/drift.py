@@ -333,7 +333,7 @@ def _carried(found: DataFrame) -> DataFrame:
                     moved[r["new_field"]] = [*carries, {"name": r["field"], "lo": begun.pop(r["field"], None), "hi": f - 1}]
                 else:
                     done += [c | {"final": r["field"]} for c in carries]
-                    begun.pop(r["field"], None)
+                    begun[r["field"]] = f  # should the name come again, it is another field
             final |= moved
             begun |= {n: f for n in moved}
         done += [c | {"final": n} for n, carries in final.items() for c in carries]

@@ -60,6 +60,14 @@ def test_shares_and_repeats(spark):
     assert sorted(map(tuple, again)) == sorted(tuple(r) for r in rows if r["mix_id"] == 1)
 
 
+def test_more_leaves_than_are_broadcast(spark, monkeypatch):
+    docs = [(i, f"s{i % 5}", ["en", "de", None][i % 3], 1 + i % 7) for i in range(200)]
+    mixes = [(1, f"s{i}", 0.2, 2, 1.0) for i in range(5)]
+    few = sorted(map(tuple, run(spark, docs, mixes)[1]))
+    monkeypatch.setattr(M, "MAX_LEAVES", 3)
+    assert sorted(map(tuple, run(spark, docs, mixes)[1])) == few and few
+
+
 def test_defined_cases(spark):
     docs = [(1, "a", "en", 0), (2, "a", "en", None), (3, None, "en", 5), (4, "b", None, 7)]
     told, rows = run(spark, docs, [(1, "a", 0.5, 2, 1.0), (1, "b", 0.5, None, 1.0), (2, "b", 1.0, 2, 1.5), (2, "b", 0.5, 1, 1.5), (3, None, 1.0, 1, 1.0), (None, "a", 1.0, 1, 1.0), (4, "b", None, 1, None), (5, "gone", 1.0, 1, 1.0)])

@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 
+from tidemark.operators import drift
 from tidemark.operators.drift import SEP, _assign, changes, edit_script, unify
 
 ROW = "w string, f int, id string, p string, change string"
@@ -137,5 +138,13 @@ def test_a_name_that_comes_again_is_another_field(spark):
     assert [(r["a"], r["d"]) for r in table(spark, rows).orderBy("f").collect()] == [("1", None), (None, None), (None, "2"), (None, "2")]
 
 
+def test_more_files_than_are_broadcast(spark, monkeypatch):
+    rows = [("a", f, "x", {f"n{f}": "v", "k": 1}) for f in range(1, 5)]
+    few = found(spark, rows)
+    monkeypatch.setattr(drift, "MAX_FILES", 1)
+    assert found(spark, rows) == few and len(few) == 3
+    assert [r["n4"] for r in table(spark, [(w, f, i, json.dumps(p)) for w, f, i, p in rows]).collect()] == ["v"] * 4
+
+
 def test_an_empty_table(spark):
     assert table(spark, []).columns == ["w", "f", "id", "p", "rest"] and table(spark, []).count() == 0

@@ -96,8 +96,8 @@ class VersionedStore:
     def read(self, only: DataFrame | None = None) -> DataFrame | None:
         """The rows now, or those of the buckets that the rows ``only`` fall to."""
         manifest = self._manifest(self.versions())
-        wanted = manifest["data"] if only is None else {b: d for b, d in manifest["data"].items() if int(b) in self._touched(only, manifest)}
-        paths = [f"{self.root}/data/{d}/bucket={b}" for b, d in sorted(wanted.items())]
+        wanted = None if only is None else self._touched(only, manifest)
+        paths = [f"{self.root}/data/{d}/bucket={b}" for b, d in sorted(manifest["data"].items()) if wanted is None or int(b) in wanted]
         return self.spark.read.schema(manifest["schema"]).parquet(*paths) if paths else None
 
     def _touched(self, rows: DataFrame, manifest: dict) -> set[int]:

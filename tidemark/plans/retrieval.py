@@ -303,9 +303,10 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(points, "id", "upserted_at", "file_seq", "writer")
 
 
-@query()
+@query("select count(*) n_rows, least(count(*), 64)::bigint largest from qpoint")
 def upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.batches(table(spark, sf_dir, "qpoint").select("id"), 64)
+    """The rows in all batches and the largest batch (how many there are depends on the partitions)."""
+    return store.batches(table(spark, sf_dir, "qpoint").select("id"), 64).agg(F.sum("n").alias("n_rows"), F.max("n").alias("largest"))
 
 
 _STALE_SQL = (

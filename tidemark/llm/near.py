@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import written
+from tidemark.session import removed, written
 
 GROUPS, GROUP_BYTES = 56, 5
 #: Positions of the bytes that are tallied per pair, at least.
@@ -386,14 +386,15 @@ def groups(df: DataFrame, key: str, block: str, text: str, threshold: float = 0.
     own = members.join(several, "id").groupBy("id").agg(F.min("full").alias("m")).join(members, "id").where("m <> full")
     own = own.select(F.col("m").alias("u"), F.col("full").alias("v"))
     edges = written(edges.unionAll(own).unionAll(own.select("v", "u")).distinct(), "near-edges")
-    labels = written(edges.select("u").distinct().select("u", F.col("u").alias("label")), "near-labels")
+    labels = last = written(edges.select("u").distinct().select("u", F.col("u").alias("label")), "near-labels")
     for _ in range(rounds):
         lower = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         best = labels.join(lower, "u").select("u", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         # Pointer jumping: take the label of one's label.
         jump = best.select(F.col("u").alias("label"), F.col("label").alias("far"))
         after = written(best.join(jump, "label").select("u", F.least("label", "far").alias("label"), "was"), "near-labels")
-        labels = after.select("u", "label")
+        removed(last)
+        last, labels = after, after.select("u", "label")
         if after.where("label <> was").isEmpty():
             break
     else:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import written
+from tidemark.session import removed, written
 
 STORY = 0.5
 #: Hits that meet in one task, and words of them that are compared at once.
@@ -245,14 +245,15 @@ def _labels(large: DataFrame, rounds: int = 500) -> DataFrame:
     chunks = large.select("request_id", "hit.parent", F.col("hit.id").alias("v")).join(one, ["request_id", "parent"]).where("u <> v").select("request_id", "u", "v")
     links = links.unionAll(chunks)
     links = written(links.unionAll(links.select("request_id", "v", "u")).distinct(), "hits-links")
-    labels = written(links.select("request_id", "u", F.col("u").alias("label")).distinct(), "hits-labels")
+    labels = last = written(links.select("request_id", "u", F.col("u").alias("label")).distinct(), "hits-labels")
     for _ in range(rounds):
         lower = links.join(labels.select("request_id", F.col("u").alias("v"), "label"), ["request_id", "v"]).groupBy("request_id", "u").agg(F.min("label").alias("near"))
         best = labels.join(lower, ["request_id", "u"]).select("request_id", "u", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         # Pointer jumping: take the label of one's label.
         jump = best.select("request_id", F.col("u").alias("label"), F.col("label").alias("far"))
         after = written(best.join(jump, ["request_id", "label"]).select("request_id", "u", F.least("label", "far").alias("label"), "was"), "hits-labels")
-        labels = after.select("request_id", "u", "label")
+        removed(last)
+        last, labels = after, after.select("request_id", "u", "label")
         if after.where("label <> was").isEmpty():
             return labels.select("request_id", F.col("u").alias("id"), F.col("label").alias("story"))
     raise RuntimeError(f"stories not settled after {rounds} rounds")

@@ -395,19 +395,22 @@ def unify(df: DataFrame, group: str, seq: str, record: str, payload: str, prefix
     entries = F.transform(
         F.map_entries(F.from_json(F.col(payload), "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), final(e["key"], F.col("__f")).alias("final"), e["value"].alias("value"))
     )
-    # An array over one row ends the inlining, so the text is read once.
-    out = keyed.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(F.filter(entries, lambda e: e["value"].isNotNull()).alias("__cells")))))
+    # A generator over one row ends the inlining: the text is read once, every field is looked
+    # up once, and what found a place is not worked out again for every value.
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    stop = lambda d, more, **made: d.select(*kept, *more, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+    out = stop(keyed, [], __cells=F.filter(entries, lambda e: e["value"].isNotNull()))
     called = lambda name: F.filter("__cells", lambda e: e["final"] == name)
-    cells, chosen = [], []
-    for name in sorted(columns):
+    order = sorted(columns)
+    firsts = {f"__c{i}": F.get(F.concat(*[called(n) for n in columns[name]["names"]]), F.lit(0)) for i, name in enumerate(order)}
+    if firsts:
+        out = stop(out, [F.col("__cells")], **firsts)
+    values = {}
+    for i, name in enumerate(order):
         kinds = columns[name]["types"]
-        kind = next(iter(kinds)) if len(kinds) == 1 else "string"
-        own = F.concat(*[called(n) for n in columns[name]["names"]])
-        first = F.get(own, F.lit(0))
-        value = _typed(first["value"], kind)
-        cells.append(value.alias(final_name[name]))
-        chosen.append(F.when(value.isNotNull(), first["key"]))
-    placed = F.array_compact(F.array(*chosen)) if chosen else F.array().cast("array<string>")
+        values[f"__v{i}"] = _typed(F.col(f"__c{i}")["value"], next(iter(kinds)) if len(kinds) == 1 else "string")
+    placed = F.array_compact(F.array(*[F.when(v.isNotNull(), F.col(f"__c{i}")["key"]) for i, v in enumerate(values.values())])) if values else F.array().cast("array<string>")
+    out = stop(out, [F.col("__cells")], **values, __placed=placed)
     rest = F.map_from_entries(F.transform(F.filter("__cells", lambda e: ~F.array_contains("__placed", e["key"])), lambda e: F.struct(e["key"], e["value"])))
-    out = out.withColumn("__placed", placed)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *cells, F.when(F.size("__cells") > 0, rest).alias(f"{prefix}rest"))
+    cells = [F.col(f"__v{i}").alias(final_name[name]) for i, name in enumerate(order)]
+    return out.select(*kept, *cells, F.when(F.size("__cells") > 0, rest).alias(f"{prefix}rest"))
